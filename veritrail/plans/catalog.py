@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.operators import orphans
+from veritrail.operators import nested, orphans
 from veritrail.session import table
 
 
@@ -21,5 +21,13 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(_found(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.nested_nodes(table(spark, sf_dir, "session_logs"))
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.nested_values(table(spark, sf_dir, "session_logs"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_report": p5_report}
 SQL: dict[str, str] = {}
