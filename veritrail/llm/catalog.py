@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import canonical, neardup
+from veritrail.llm import canonical, knn, neardup
 from veritrail.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest_pairs(table(spark, sf_dir, "node_vec"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "nodes"))
     return found.filter("id_hex <> group_hex").selectExpr("group_hex as rep_hex", "id_hex")
@@ -22,5 +26,5 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.ledger_of(table(spark, sf_dir, "nodes")).counts().select("rep_hex", "copies", "first_seen")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
 SQL: dict[str, str] = {}
