@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.operators.skew import skewed_lookup
+from veritrail.session import materialize
 
 
 def _day(ts: str) -> Column:
@@ -59,7 +60,7 @@ def orphans(owned_edges: DataFrame, pending_edges: DataFrame, owned_nodes: DataF
     Empty tables give an empty result or, for empty parents, only missing ones. Extra columns are ignored. A reference
     without a period cannot be late: it is an orphan only when its parent is missing or deleted.
     """
-    refs = references(owned_edges, pending_edges, owned_nodes)
+    refs = materialize(references(owned_edges, pending_edges, owned_nodes), "refs")
     par = parents(owned_nodes, paths, nodes).select("tbl", F.col("key").alias("target"), "valid_from", F.lit(True).alias("known"))
     met = skewed_lookup(refs, par, ["tbl", "target"])
     status = F.when(F.col("known").isNull(), "missing").when(F.col("valid_from").isNull(), "deleted").when(F.col("valid_from") > F.col("period"), "late")
