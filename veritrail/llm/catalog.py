@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import canonical, knn, neardup
+from veritrail.llm import bpe, canonical, knn, neardup
 from veritrail.session import table
 
 
@@ -26,5 +26,14 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.ledger_of(table(spark, sf_dir, "nodes")).counts().select("rep_hex", "copies", "first_seen")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids: the round trip."""
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
 SQL: dict[str, str] = {}
