@@ -231,6 +231,22 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> Da
     return whole.unionByName(open_.join(met, "_k").select("doc_id", full.alias("ids")))
 
 
+def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, tokens): how many ids each text has; 0 for an empty or null text. Words are counted, no list is put together.
+
+    The words of a text, each with its number, meet the sizes of the dictionary; the sizes of the HOT most frequent words, a
+    fixed number, are broadcast, so that the rest has no hot key.
+    """
+    book = dictionary(documents, folder).select("word", "n", F.size("ids").alias("size"))
+    hot = materialize(book.orderBy(F.desc("n"), "word").limit(HOT).select("word", "size"), "hot")
+    each = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word"))
+    near = each.join(F.broadcast(hot.withColumnRenamed("size", "s")), "word", "left")
+    done = near.filter("s is not null").groupBy("doc_id").agg(F.sum("s").alias("tokens"))
+    rest = near.filter("s is null").select("doc_id", "word").join(book.hint("merge"), "word").groupBy("doc_id").agg(F.sum("size").alias("tokens"))
+    zero = documents.select("doc_id", F.lit(0).cast("long").alias("tokens"))
+    return done.unionByName(rest).unionByName(zero).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+
+
 def decode(encoded: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, text): the pieces of the ids, concatenated as binary and read as UTF-8. Null ids give null, no ids the empty text."""
     *_, pieces = rank_table(folder)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, canonical, knn, neardup
+from veritrail.llm import bpe, canonical, garbled, knn, neardup, packing
 from veritrail.session import table
 
 
@@ -35,5 +36,26 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+def _packed(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, int]:
+    capacity = table(spark, sf_dir, "containers").filter(F.col("container_kind") == kind).agg(F.max("capacity_tokens")).first()[0]
+    return packing.pack(bpe.token_counts(table(spark, sf_dir, "documents")), capacity), capacity
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "standard")[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(*_packed(spark, sf_dir, "standard"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.found(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.repaired(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_repaired": p8_repaired}
 SQL: dict[str, str] = {}
