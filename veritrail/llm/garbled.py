@@ -24,7 +24,7 @@ from veritrail.operators.skew import skewed_lookup
 from veritrail.session import materialize
 
 #: Read as; the bytes are UTF-8.
-SEQUENCES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859_2", "koi8_r")
+SEQUENCES = ("cp1252", "iso8859_15", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859_2", "koi8_r")
 #: (written in, read as), byte by byte.
 SINGLES = (
     ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"),
@@ -37,10 +37,11 @@ ENTER, LEAVE, FORBIDDEN = -6.0, -2.0, -60.0
 PAIRS = 100_000
 #: Share of the corpus that may be garbled one way; a pair of characters that is this much rarer than its restoration is no evidence of clean text.
 DIRT = 0.05
-#: Log odds that the tokens of one single-byte pair must reach together in a document: words of rare letters reach about 11, garbled sentences 13 and more.
-LEAST = 12.0
+#: Log odds that the tokens of single-byte pairs must reach together in a document; a token whose restoration is no token of KNOWN documents counts half.
+LEAST, KNOWN = 12.0, 3
 #: The same for pairs within one script, whose restorations are words or nothing.
 LEAST_SAME = 5.0
+_CYRILLIC = ("cp1251", "koi8_r")
 _LOST = 0xFFFD
 
 
@@ -179,13 +180,18 @@ def label(tokens: list[str], model: Model) -> list[tuple[str, str, float]]:
     if len(tokens):
         gone = np.add.reduceat(cp == _LOST, first) > 0
         lost[first[0] :] = np.repeat(gone, np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens)))
+    # a word is of one script
+    latin = np.zeros(len(cp), bool)
+    if len(tokens):
+        letters = ((cp | 32) >= 97) & ((cp | 32) <= 122)
+        latin[first[0] :] = np.repeat(np.add.reduceat(letters, first) > 0, np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens)))
     for written, read in SINGLES:
         byte = np.where((cp < 0x10000) & (cp > 127), _bytes_of(read)[small], -1)
         restored = np.where(byte >= 128, _high(written)[byte], cp)
         if (restored == cp).all():
             continue
         e = model(np.concatenate([[32], restored[:-1]]), restored)
-        e[((cp > 127) & (byte < 0)) | lost] = FORBIDDEN
+        e[((cp > 127) & (byte < 0)) | lost | (latin if written in _CYRILLIC else False)] = FORBIDDEN
         names.append(f"{written}>{read}"), emit.append(e), rest.append(restored), parts.append(np.where((cp > 127) & (byte < 0), 3, 0))
     E, P = np.stack(emit), np.stack(parts)
     inside = P == 2
@@ -307,7 +313,10 @@ def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.float64())], ["token", "restored", "pairs", "odds"])
 
     spread = tokens.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("token")
-    return materialize(spread.mapInArrow(run, "token string, restored string, pairs string, odds double"), "garbled"), each
+    bad = materialize(spread.mapInArrow(run, "token string, restored string, pairs string, odds double"), "garbled")
+    known = tokens.filter(F.col("n") >= KNOWN).select(F.col("token").alias("restored"), F.lit(True).alias("known"))
+    bad = bad.join(known, "restored", "left").withColumn("odds", F.when(F.col("known"), F.col("odds")).otherwise(F.col("odds") / 2))
+    return bad.select("token", "restored", "pairs", "odds"), each
 
 
 def _cases(documents: DataFrame) -> DataFrame:
@@ -317,9 +326,12 @@ def _cases(documents: DataFrame) -> DataFrame:
     """
     bad, each = garbled_tokens(documents)
     met = skewed_lookup(each.distinct(), bad, ["token"], "inner")
-    how = F.when(F.col("token").contains("\ufffd"), "lost").otherwise(F.substring_index("pairs", ";", 1))
+    names = F.split(F.substring_index("pairs", ";", 1), ",")
+    one_byte = [f"{a}>{b}" for a, b in SINGLES]
+    sure = F.filter(names, lambda x: ~x.isin(one_byte))
+    how = F.when(F.col("token").contains("\ufffd"), "lost").when(F.size(sure) > 0, sure[0]).otherwise(names[0])
     by = met.withColumn("how", how).groupBy("doc_id", "how").agg(F.sum("odds").alias("odds"), F.collect_list(F.struct("token", "restored")).alias("tokens"))
-    single = F.col("how").isin([f"{a}>{b}" for a, b in SINGLES])
+    single = F.col("how").isin(one_byte)
     same = F.col("how").isin("koi8_r>cp1251", "cp1251>koi8_r")
     return by.filter(~single | (F.col("odds") >= F.when(same, LEAST_SAME).otherwise(LEAST))).select("doc_id", "how", "tokens")
 
