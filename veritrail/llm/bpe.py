@@ -29,6 +29,7 @@ HOT = 16384
 SHORT = 64
 #: The key of a pair of ids is left * _SPREAD + right: unique, and even in its low bits.
 _SPREAD = 99991
+_MOST = 1 << 20
 #: Token ids as single characters, for long words: the code point of id 0.
 _PLANE = 0x10000
 
@@ -38,48 +39,60 @@ def _ints(values: list[int], kind: str = "int") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _place(key: int, d: int, buckets: int, slots: int) -> int:
-    return (key // buckets + (1 + key % 8191) * d) % slots
-
-
-def _displace(keys: list[int], buckets: int, slots: int) -> tuple[list[int], list[int]]:
-    """A perfect hash: displacements by key % buckets, and for each slot the number of its key or -1."""
+def _displace(keys: list[int], bits: int) -> tuple[list[int], list[int]]:
+    """A perfect hash of longs: displacements by the low bits of a key, and for each of 2^(bits + 1) slots the number of its key or -1."""
+    low, mask = (1 << bits) - 1, (2 << bits) - 1
     groups: dict[int, list[int]] = {}
     for n, k in enumerate(keys):
-        groups.setdefault(k % buckets, []).append(n)
-    move, at = [0] * buckets, [-1] * slots
+        groups.setdefault(k & low, []).append(n)
+    move, at = [0] * (low + 1), [-1] * (mask + 1)
     for g, ns in sorted(groups.items(), key=lambda x: -len(x[1])):
-        for d in range(slots):
-            places = {_place(keys[n], d, buckets, slots) for n in ns}
-            if len(places) == len(ns) and all(at[p] < 0 for p in places):
+        for d in range(mask + 1):
+            places = [((keys[n] >> bits) + d * (1 + 2 * (keys[n] & 4095 ^ keys[n] >> 20 & 4095))) & mask for n in ns]
+            if len(set(places)) == len(ns) and all(at[p] < 0 for p in places):
                 break
         else:
             raise ValueError("no displacement found")
         move[g] = d
-        for n in ns:
-            at[_place(keys[n], d, buckets, slots)] = n
+        for n, p in zip(ns, places, strict=True):
+            at[p] = n
     return move, at
 
 
 class LiteralMap:
-    """A map from non-negative longs, as literal arrays."""
+    """A map from longs below 2^62, not negative, as literal arrays."""
 
     def __init__(self, keys: list[int]):
-        self.buckets = max(16, 1 << (max(1, len(keys)) - 1).bit_length())
-        self.slots = self.buckets * 2 + 1
-        self.move, self.at = _displace(keys, self.buckets, self.slots)
+        self.bits = max(4, (max(1, len(keys)) - 1).bit_length())
+        self.move, self.at = _displace(keys, self.bits)
 
     def slot(self, key: Column) -> Column:
         """The slot that the key has if it is in the map."""
-        d = F.get(_ints(self.move), (key % self.buckets).cast("int"))
-        whole = F.shiftright(key, self.buckets.bit_length() - 1)
-        return ((whole + (key % 8191 + 1) * d) % self.slots).cast("int")
+        low = lambda n: F.lit(n).cast("bigint")
+        d = F.get(_ints(self.move, "bigint"), key.bitwiseAND(low((1 << self.bits) - 1)).cast("int"))
+        step = key.bitwiseAND(low(4095)).bitwiseXOR(F.shiftright(key, 20).bitwiseAND(low(4095))) * 2 + 1
+        return (F.shiftright(key, self.bits) + d * step).bitwiseAND(low((2 << self.bits) - 1)).cast("int")
 
     def spread(self, values: list, empty) -> list:
         """The values, in the order of the keys, by slot."""
         return [values[n] if n >= 0 else empty for n in self.at]
 
 
+class RankMap:
+    """The id that a pair of ids merges into, which is also its rank: one literal array of key << 16 | id."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        keys = [a * _SPREAD + b for a, b, _ in merges]
+        self.map = LiteralMap(keys)
+        self.table = self.map.spread([k << 16 | c for k, (*_, c) in zip(keys, merges, strict=True)], -1)
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """Null if the pair doesn't merge, or one of them is null. a and b are longs."""
+        key = a * _SPREAD + b
+        hit = lambda v: F.when(F.shiftright(v, 16) == key, v.bitwiseAND(F.lit(65535).cast("bigint")))
+        return _let(F.get(_ints(self.table, "bigint"), self.map.slot(key)), hit)
+
+
 @lru_cache(maxsize=2)
 def rank_table(folder: str, name: str = "byte_bpe_50k") -> tuple[list[int], list[tuple[int, int, int]], list[bytes]]:
     """(id of each byte, merges (left id, right id, id) by rank, bytes of each id)."""
@@ -103,64 +116,48 @@ def _let(value: Column, body) -> Column:
 def _bytes(word: Column, byte_ids: list[int]) -> Column:
     """The ids of a word's bytes."""
     chars = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.get(_ints(byte_ids), F.ascii(c)))
+    return F.transform(chars, lambda c: F.get(_ints(byte_ids, "bigint"), F.ascii(c)))
 
 
 def encode_word(word: Column, folder: str = TOKENIZERS) -> Column:
     """The ids of one word: the fold of ranked merges over its bytes."""
     byte_ids, merges, _ = rank_table(folder)
-    book = LiteralMap([a * _SPREAD + b for a, b, _ in merges])
-    keys = _ints(book.spread([a * _SPREAD + b for a, b, _ in merges], -1), "bigint")
-    made = _ints(book.spread([c for *_, c in merges], -1))
-
-    def rank(a: Column, b: Column) -> Column:
-        """The id that the pair merges into, which is also its rank; null if it doesn't."""
-        key = a.cast("bigint") * _SPREAD + b
-        return F.when(a.isNotNull() & b.isNotNull(), _let(F.struct(key.alias("k"), book.slot(key).alias("s")), lambda x: F.when(F.get(keys, x["s"]) == x["k"], F.get(made, x["s"]))))
-
-    def ranks(t: Column) -> Column:
-        return F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))
+    rank = RankMap(merges).rank
 
     def step(s: Column, _: Column) -> Column:
         """Merge the leftmost pair of the lowest rank; only the ranks beside it change."""
 
         def merged(x: Column) -> Column:
             m, p = x["m"], x["p"]  # p: its place, from 1
-            n = F.size(s["t"])
-            t = F.concat(F.slice(s["t"], 1, p - 1), F.array(m), F.slice(s["t"], p + 2, n))
-            left = F.when(p > 1, F.concat(F.slice(s["r"], 1, F.greatest(p - 2, F.lit(0))), F.array(rank(F.get(s["t"], p - 2), m)))).otherwise(F.slice(s["r"], 1, 0))
-            r = F.concat(left, F.array(rank(m, F.get(s["t"], p + 1))), F.slice(s["r"], p + 2, n))
-            return F.struct(t.alias("t"), r.alias("r"), F.lit(False).alias("d"))
+            t, r = s["t"], s["r"]
+            new = F.concat(F.slice(t, 1, p - 1), F.array(m), F.slice(t, p + 2, _MOST))
+            before = F.when(p > 1, F.array(rank(F.get(t, p - 2), m))).otherwise(F.slice(r, 1, 0))
+            ranks = F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), before, F.array(rank(m, F.get(t, p + 1))), F.slice(r, p + 2, _MOST))
+            return F.struct(new.alias("t"), ranks.alias("r"), F.lit(False).alias("d"))
 
-        low = F.array_min(s["r"])
         place = lambda m: F.struct(m.alias("m"), F.array_position(s["r"], m).cast("int").alias("p"))
-        going = _let(low, lambda m: F.when(m.isNull(), F.struct(s["t"].alias("t"), s["r"].alias("r"), F.lit(True).alias("d"))).otherwise(_let(place(m), merged)))
-        return F.when(s["d"], s).otherwise(going)
+        over = F.struct(s["t"].alias("t"), s["r"].alias("r"), F.lit(True).alias("d"))
+        return F.when(s["d"], s).otherwise(_let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), over).otherwise(_let(place(m), merged))))
 
+    ranks = lambda t: F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))
     start = _let(_bytes(word, byte_ids), lambda t: F.struct(t.alias("t"), ranks(t).alias("r"), F.lit(False).alias("d")))
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, start, step, lambda s: s["t"])
+    return F.aggregate(turns, start, step, lambda s: s["t"]).cast("array<int>")
 
 
 def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
     """The same for a word of any length: the state is a string with a character per token, and each turn replaces all occurrences of the pair."""
     byte_ids, merges, _ = rank_table(folder)
-    book = LiteralMap([a * _SPREAD + b for a, b, _ in merges])
-    keys = _ints(book.spread([a * _SPREAD + b for a, b, _ in merges], -1), "bigint")
-    made = _ints(book.spread([c for *_, c in merges], -1))
+    rank = RankMap(merges).rank
     sign = lambda i: chr(_PLANE + i)
     first = merges[0][2]
     chars = F.split(F.lit("\u0001".join(sign(b) for b in byte_ids)), "\u0001")
     pair_of = F.split(F.lit("\u0001".join(sign(a) + sign(b) for a, b, _ in merges)), "\u0001")
     sign_of = F.split(F.lit("\u0001".join(sign(c) for *_, c in merges)), "\u0001")
-    ids = lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c) - _PLANE)
-
-    def rank(a: Column, b: Column) -> Column:
-        key = a.cast("bigint") * _SPREAD + b
-        return F.when(b.isNotNull(), _let(F.struct(key.alias("k"), book.slot(key).alias("s")), lambda x: F.when(F.get(keys, x["s"]) == x["k"], F.get(made, x["s"]))))
+    ids = lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: (F.ascii(c) - _PLANE).cast("bigint"))
 
     def step(s: Column, _: Column) -> Column:
-        low = _let(ids(s["t"]), lambda t: F.array_min(F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))))
+        low = _let(ids(s["t"]), lambda t: F.array_min(F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))).cast("int"))
         new = lambda m: F.when(m.isNull(), F.struct(s["t"].alias("t"), F.lit(True).alias("d"))).otherwise(
             F.struct(F.replace(s["t"], F.get(pair_of, m - first), F.get(sign_of, m - first)).alias("t"), F.lit(False).alias("d"))
         )
@@ -169,7 +166,7 @@ def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
     parts = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
     start = F.array_join(F.transform(parts, lambda c: F.get(chars, F.ascii(c))), "")
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, F.struct(start.alias("t"), F.lit(False).alias("d")), step, lambda s: ids(s["t"]))
+    return F.aggregate(turns, F.struct(start.alias("t"), F.lit(False).alias("d")), step, lambda s: ids(s["t"])).cast("array<int>")
 
 
 def split_words(text: Column) -> Column:
@@ -187,7 +184,7 @@ def dictionary(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
 
 
 def _hash(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 1)
+    return F.shiftrightunsigned(F.xxhash64(word), 2)
 
 
 def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> DataFrame:
@@ -198,26 +195,16 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> Da
     book = dictionary(documents, folder)
     top = book.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids", _hash(F.col("word")).alias("h")).collect()
     seen: set[int] = set()
-    top = [r for r in top if "\u0001" not in r.word and not (r.h in seen or seen.add(r.h))]
-    table = LiteralMap([r.h for r in top] or [0])
-    spots = table.spread(list(range(len(top))) or [-1], -1)
-    hashes = _ints([top[n].h if n >= 0 else -1 for n in spots], "bigint")
-    starts, sizes, flat = [], [], []
-    for n in spots:
-        ids = top[n].ids if n >= 0 else []
-        starts.append(len(flat) + 1)
-        sizes.append(len(ids))
-        flat += ids
-    texts = F.split(F.lit("\u0001".join(top[n].word if n >= 0 else "" for n in spots)), "\u0001")
-
-    def known(w: Column) -> Column:
-        """The ids of a hot word, else null."""
-        h = _hash(w)
-        hit = lambda x: F.when((F.get(hashes, x["s"]) == x["h"]) & (F.get(texts, x["s"]) == w), F.slice(_ints(flat or [0]), F.get(_ints(starts), x["s"]), F.get(_ints(sizes), x["s"])))
-        return _let(F.struct(h.alias("h"), table.slot(h).alias("s")), hit)
-
+    top = [r for r in top if not (r.h in seen or seen.add(r.h))]
+    table = LiteralMap([r.h for r in top])
+    hashes = _ints(table.spread([r.h for r in top], -1), "bigint")
+    lists = F.from_json(F.lit(json.dumps(table.spread([r.ids for r in top], []))), "array<array<int>>")
+
+    # hash, slot and ids of each word, in turn; a word is known by 62 bits of its hash
+    hashed = F.transform(split_words(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("w"), _hash(w).alias("h")))
+    slotted = F.transform(hashed, lambda x: F.struct(x["w"].alias("w"), x["h"].alias("h"), table.slot(x["h"]).alias("s")))
+    pieces = F.transform(slotted, lambda x: F.struct(x["w"].alias("w"), F.when(F.get(hashes, x["s"]) == x["h"], F.get(lists, x["s"])).alias("i")))
     # a rest word stands as minus its place among the text's rest words
-    pieces = F.transform(split_words(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("w"), known(w).alias("i")))
     rest = lambda p: F.array_distinct(F.transform(F.filter(p, lambda x: x["i"].isNull()), lambda x: x["w"]))
     marked = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), pieces.alias("p"))
     marked = marked.select("doc_id", "_k", "p", rest(F.col("p")).alias("rest"))
