@@ -1,33 +1,424 @@
-"""Every registered query of the core and its SQL."""
+"""Every registered query of the core. Their SQL is in sql.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from veritrail.operators import nested, orphans
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritrail.functions import paths as P
+from veritrail.functions import text as T
+from veritrail.operators import converge, edges, nested, orphans, retrieve, sessions, stale
+from veritrail.plans.sql import SQL  # noqa: F401
 from veritrail.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+ROOTS = {"/srv/work": "symbol", "/opt/mono/**": "graph", "/home/dev/*/**": "file", "/data": "path", "/srv/work/**/internal/**": "graph"}
+SEARCHES = {
+    1: "pending retry of the resolver", 2: "stale manifest and torn journal", 3: "timeout checked by the scheduler", 4: "duplicate coverage of the daemon",
+    5: "open question about a frozen cursor", 6: "migration rejected the oversized queue", 7: "unreadable capability in the audit", 8: "which parser keeps the lock open",
+}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in names]
+
+
+def _millis(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: (doc_id, path, text)."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    ext = F.get(F.array(*map(F.lit, (".py", ".md", ".ts", ".yaml", ".go", ".bin"))), (F.col("doc_id") % 6).cast("int"))
+    path = F.concat(F.lit("/home/u/"), F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id").cast("string"), ext)
+    return d.select("doc_id", path.alias("path"), "text")
+
+
+# functions over whole tables
+
+
+@query
+def content_hash(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return f.select("path", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("bigint").alias("size"))
+
+
+@query
+def node_ids(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return p.select("path").distinct().select("path", P.namespace(F.col("path")).alias("ns"), P.node_id(F.col("path")).alias("node_id"))
+
+
+@query
+def language_of(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return converge.current(p).groupBy(P.language_of(F.col("path")).alias("language"), P.has_extractor(F.col("path")).alias("extracted")).agg(F.count("*").alias("n"))
+
+
+@query
+def depth_for(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    d = P.depth_for(F.col("path"), ROOTS, "max", "symbol")
+    return p.select("path").distinct().select("path", d.alias("d")).select("path", "d.requested", "d.effective", "d.clamped")
+
+
+@query
+def skip_filter(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return p.select("path").distinct().select("path", P.skipped(F.col("path"), "/home/dev").alias("skip"))
+
+
+@query
+def line_parse(spark, sf_dir):
+    (n,) = _t(spark, sf_dir, "owned_nodes")
+    place = F.when(F.col("kind") == "file", F.col("line").cast("string")).otherwise(F.concat(F.lit("L"), F.col("line").cast("string")))
+    return n.groupBy("kind", P.line_of(place).alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def rendered_nodes(spark, sf_dir):
+    n, p = _t(spark, sf_dir, "owned_nodes", "paths")
+    c = [F.col(x) for x in ("kind", "path", "symbol", "label", "line")]
+    return converge.owned(n, p).select("node_id", T.render_title(*c).alias("title"))
+
+
+# convergence
+
+
+def _hints(spark, sf_dir):
+    (e,) = _t(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("/home/u/f"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("reason"), _millis("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query
+def hint_collapse(spark, sf_dir):
+    return converge.collapse_hints(_hints(spark, sf_dir))
+
+
+@query
+def queue_batch(spark, sf_dir):
+    return converge.queue_batch(converge.collapse_hints(_hints(spark, sf_dir)))
+
+
+@query
+def reconcile_actions(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return converge.actions(converge.before_last(p), converge.current(p))
+
+
+@query
+def action_tally(spark, sf_dir):
+    return converge.tally(reconcile_actions(spark, sf_dir))
+
+
+@query
+def aba_split(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return converge.split_by_generation(p.select("path", "generation"), p)
+
+
+@query
+def ownership_replace(spark, sf_dir):
+    n, p = _t(spark, sf_dir, "owned_nodes", "paths")
+    first = converge.first_owned(n).select("node_id", "path", "line", "label")
+    now = converge.owned(n, p).select("node_id", "path", "line", "label")
+    late = n.groupBy("path").agg((F.max("committed_at") > F.min("committed_at")).alias("again")).filter("again")
+    return converge.replace_owned(first, now.join(late, "path", "left_semi").select(first.columns), late)
+
+
+@query
+def desired_diff(spark, sf_dir):
+    n, p = _t(spark, sf_dir, "owned_nodes", "paths")
+    return converge.desired_diff(converge.first_owned(n), converge.owned(n, p))
+
+
+@query
+def index_stats(spark, sf_dir):
+    p, n, e, w = _t(spark, sf_dir, "paths", "owned_nodes", "owned_edges", "pending_edges")
+    s = converge.current(p).agg(F.count_if(F.col("state") == "present").alias("present"), F.count_if(F.col("state") == "absent").alias("absent"))
+    own = n.agg(F.countDistinct("node_id").alias("nodes"))
+    ed = e.select("path", "src", "dst", "relation").distinct().agg(F.count("*").alias("edges"))
+    pe = edges.waiting(w).agg(F.count("*").alias("pending"))
+    return s.crossJoin(own).crossJoin(ed).crossJoin(pe)
+
+
+@query
+def edges_resolved(spark, sf_dir):
+    w, n, p = _t(spark, sf_dir, "pending_edges", "owned_nodes", "paths")
+    return edges.resolved(w, converge.owned(n, p))
+
+
+@query
+def edges_pending(spark, sf_dir):
+    w, n, p = _t(spark, sf_dir, "pending_edges", "owned_nodes", "paths")
+    return edges.unresolved(w, converge.owned(n, p))
+
+
+@query
+def pending_union(spark, sf_dir):
+    w, n, p = _t(spark, sf_dir, "pending_edges", "owned_nodes", "paths")
+    dirty = p.filter("generation > 3").select("path").distinct()
+    fresh = n.filter("kind = 'symbol'").join(dirty, "path", "left_semi").select("symbol").distinct()
+    return edges.pending_union(w, dirty, fresh)
+
+
+@query
+def edge_places(spark, sf_dir):
+    e, n = _t(spark, sf_dir, "owned_edges", "owned_nodes")
+    return edges.local_split(e.select("path", "src", "dst", "relation").distinct(), n).groupBy("relation", "place").agg(F.count("*").alias("n"))
+
+
+@query
+def audit_shallow(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return converge.drift(converge.before_last(p), converge.current(p))
+
+
+@query
+def audit_deep(spark, sf_dir):
+    (p,) = _t(spark, sf_dir, "paths")
+    return converge.drift(converge.before_last(p), converge.current(p), deep=True, untracked=True)
+
+
+@query
+def drift_counts(spark, sf_dir):
+    return audit_deep(spark, sf_dir).groupBy("why").agg(F.count("*").alias("n"))
+
+
+# retrieval and verification
+
+
+@query
+def query_tokens(spark, sf_dir):
+    (n,) = _t(spark, sf_dir, "nodes")
+    t = stale.notes(n).select("id_hex", T.tokens(F.col("title")).alias("t"))
+    return t.select("id_hex", F.size("t").cast("bigint").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@query
+def coverage(spark, sf_dir):
+    """How far each note's body covers its title."""
+    (n,) = _t(spark, sf_dir, "nodes")
+    c = T.coverage(T.tokens(F.col("title")), F.col("body"))
+    return stale.notes(n).select("id_hex", F.round(c, 6).alias("cov"), T.verdict(F.lit(True), F.lit(True), c).alias("verdict"), T.percent(c).alias("pct"))
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = {n: table(spark, sf_dir, n) for n in ("owned_edges", "pending_edges", "owned_nodes", "paths", "nodes")}
-    return orphans.orphans(*t.values())
 
+@query
+def verified_search(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieve.verified_search(d, "manifest scheduler rejected timeout before next duplicate")
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).drop("status")
 
+def _searches(spark):
+    return spark.createDataFrame([(k, v) for k, v in SEARCHES.items()], "query_id long, text string")
 
-def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(_found(spark, sf_dir))
 
+@query
+def bm25_topk(spark, sf_dir):
+    return retrieve.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _searches(spark), 25)
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+@query
+def score_floor(spark, sf_dir):
+    return retrieve.score_floor(bm25_topk(spark, sf_dir), 0.9)
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieve.cosine(e, e.filter("vec_id % 20 = 0"), 10)
+
+
+@query
+def fused_gate(spark, sf_dir):
+    return retrieve.gate(cosine_topk(spark, sf_dir))
+
+
+@query
+def rrf_topk(spark, sf_dir):
+    """Lexical ranks of the searches fused with the vector ranks of an example each."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    near = retrieve.cosine(e, e.filter(F.col("vec_id").isin(*SEARCHES)), 25)
+    return retrieve.fuse(bm25_topk(spark, sf_dir), near)
+
+
+def _hits(spark, sf_dir):
+    (n,) = _t(spark, sf_dir, "nodes")
+    q = F.array(*map(F.lit, ("migration", "scheduler", "duplicate", "edited")))
+    found = F.get(P.prose_paths(F.col("title")), F.lit(0))
+    h = stale.notes(n).select("id_hex", "title", found.alias("path"), T.coverage(q, F.col("title"), F.col("body")).alias("score"))
+    return h.filter("score > 0").withColumn("ord", F.concat(F.format_string("%05d", F.lit(100000) - F.floor(F.col("score") * 1000).cast("int")), F.col("id_hex")))
+
+
+@query
+def junk_filter(spark, sf_dir):
+    return retrieve.drop_junk(_hits(spark, sf_dir), ("note on", "orphaned")).select("id_hex", "title", "score")
+
+
+@query
+def dedup_hits(spark, sf_dir):
+    return retrieve.dedup_hits(_hits(spark, sf_dir)).select("id_hex", "title", "path", "score")
+
+
+@query
+def beam_walk(spark, sf_dir):
+    e, n = _t(spark, sf_dir, "owned_edges", "owned_nodes")
+    starts = n.filter("kind = 'file'").select(F.col("node_id").alias("start")).distinct()
+    return edges.beam_walk(e, starts)
+
+
+# stale notes, sessions, telemetry
+
+
+def _mentioned(spark, sf_dir):
+    n, p = _t(spark, sf_dir, "nodes", "paths")
+    return n, p, stale.mentions(n, p)
+
+
+@query
+def stale_candidates(spark, sf_dir):
+    return stale.candidates(_mentioned(spark, sf_dir)[2])
+
+
+@query
+def rehome_outcome(spark, sf_dir):
+    _, p, m = _mentioned(spark, sf_dir)
+    return stale.outcomes(m, p)
+
+
+@query
+def rehome_rewrite(spark, sf_dir):
+    n, p, m = _mentioned(spark, sf_dir)
+    return stale.rewritten(n, stale.outcomes(m, p))
+
+
+@query
+def sweep_totals(spark, sf_dir):
+    n, p, m = _mentioned(spark, sf_dir)
+    return stale.totals(n, m, stale.outcomes(m, p))
+
+
+@query
+def seed_replace(spark, sf_dir):
+    n, p = _t(spark, sf_dir, "nodes", "paths")
+    old = stale.notes(n).select("title", "body")
+    fresh = converge.current(p).filter("state = 'present'").select(F.col("path").alias("title"), T.seed_body(P.basename(F.col("path"))).alias("body"))
+    return stale.seed(old, fresh)
+
+
+@query
+def node_dump(spark, sf_dir):
+    (n,) = _t(spark, sf_dir, "nodes")
+    k = stale.notes(n).select("id_hex", F.explode(T.tokens(F.col("title"))).alias("keyword"))
+    return stale.dump(n, k)
+
+
+@query
+def session_edits(spark, sf_dir):
+    return sessions.edits(sessions.tool_calls(table(spark, sf_dir, "session_logs")))
+
+
+@query
+def edit_paths(spark, sf_dir):
+    return session_edits(spark, sf_dir).filter("path is not null").groupBy("path").agg(F.count("*").alias("edits"))
+
+
+@query
+def usage_count(spark, sf_dir):
+    return sessions.usage(table(spark, sf_dir, "session_logs"))
+
+
+def _calls(spark, sf_dir):
+    (e,) = _t(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("click", "view"), "grep").when(F.col("event_type") == "signup", "reset").otherwise("other")
+    return e.select(F.col("user_id").alias("session"), F.struct(_millis("ts").alias("at"), "event_id").alias("seq"), "event_id", kind.alias("class"))
+
+
+@query
+def guard_chain(spark, sf_dir):
+    return sessions.guard(_calls(spark, sf_dir)).select("session", "event_id", "chain", "warn")
+
+
+@query
+def guard_warnings(spark, sf_dir):
+    return sessions.guard(_calls(spark, sf_dir)).groupBy("session").agg(F.count_if("warn").alias("warnings"), F.max("chain").alias("longest"))
+
+
+@query
+def first_prompt(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "signup", F.concat(F.lit("/"), "event_type")).when(F.col("event_type") == "error", F.lit(" ")).otherwise(F.concat("event_type", F.lit(" "), "props"))
+    inputs = e.select(F.col("user_id").alias("session"), F.struct(_millis("ts"), "event_id").alias("seq"), "event_id", text.alias("text"))
+    return sessions.first_prompt(inputs).select("session", "event_id", "text")
+
+
+@query
+def telemetry_rollup(spark, sf_dir):
+    return sessions.snapshots(table(spark, sf_dir, "events"))
+
+
+@query
+def telemetry_trend(spark, sf_dir):
+    return sessions.trend(telemetry_rollup(spark, sf_dir))
+
+
+@query
+def tail_snapshots(spark, sf_dir):
+    return telemetry_rollup(spark, sf_dir).orderBy(F.desc("day")).limit(14)
+
+
+@query
+def hit_rate(spark, sf_dir):
+    return sessions.hit_rates(table(spark, sf_dir, "events"))
+
+
+@query
+def tumbling_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    w = F.window(F.col("ts").cast("timestamp"), "6 hours")
+    return e.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query
+def session_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    w = F.session_window(F.col("ts").cast("timestamp"), "6 hours")
+    return e.groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "n")
+
+
+# numbered problems of the core
+
+
+@query
+def p3_found(spark, sf_dir):
     return nested.nested_nodes(table(spark, sf_dir, "session_logs"))
 
 
-def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def p3_values(spark, sf_dir):
     return nested.nested_values(table(spark, sf_dir, "session_logs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_report": p5_report}
-SQL: dict[str, str] = {}
+def _orphans(spark, sf_dir):
+    return orphans.orphans(*_t(spark, sf_dir, "owned_edges", "pending_edges", "owned_nodes", "paths", "nodes"))
+
+
+@query
+def p5_found(spark, sf_dir):
+    return _orphans(spark, sf_dir).drop("status")
+
+
+@query
+def p5_report(spark, sf_dir):
+    return orphans.orphan_report(_orphans(spark, sf_dir))
