@@ -301,7 +301,7 @@ def fit(tokens: DataFrame) -> Model:
 
 def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((token, restored, pairs, odds) of the garbled tokens, (doc_id, token) of all tokens)."""
-    each = documents.filter("text is not null").select("doc_id", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"))
+    each = materialize(documents.filter("text is not null").select("doc_id", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token")), "each")
     tokens = materialize(each.groupBy("token").agg(F.count("*").alias("n")), "tokens")
     model = fit(tokens)
 
@@ -325,7 +325,7 @@ def _cases(documents: DataFrame) -> DataFrame:
     A UTF-8 sequence, a double byte or a lost character is a case by itself; single bytes are when their tokens reach LEAST.
     """
     bad, each = garbled_tokens(documents)
-    met = skewed_lookup(each.distinct(), bad, ["token"], "inner")
+    met = skewed_lookup(each, bad, ["token"], "inner").dropDuplicates(["doc_id", "token"])
     names = F.split(F.substring_index("pairs", ";", 1), ",")
     one_byte = [f"{a}>{b}" for a, b in SINGLES]
     sure = F.filter(names, lambda x: ~x.isin(one_byte))
