@@ -5,7 +5,7 @@
    up in a literal rank map, until no pair has a rank.
 3. The HOT most frequent words (a fixed number) become a literal word map, and the texts are encoded with it where they lie. A
    word beyond them holds less than 1/HOT of all occurrences, so that the join for these rest words has no hot key.
-A rank map or word map is a set of literal arrays with a perfect hash (hash and displace), read by position.
+The rank map and the word map are literal arrays, read by position.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HOT = 16384
 #: Bytes of a word up to which pairs are merged one at a time; longer ones merge all occurrences of a pair at once.
 SHORT = 64
-#: The key of a pair of ids is left * _SPREAD + right: unique, and even in its low bits.
-_SPREAD = 99991
 _MOST = 1 << 20
 #: Token ids as single characters, for long words: the code point of id 0.
 _PLANE = 0x10000
@@ -39,58 +37,68 @@ def _ints(values: list[int], kind: str = "int") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _displace(keys: list[int], bits: int) -> tuple[list[int], list[int]]:
-    """A perfect hash of longs: displacements by the low bits of a key, and for each of 2^(bits + 1) slots the number of its key or -1."""
-    low, mask = (1 << bits) - 1, (2 << bits) - 1
-    groups: dict[int, list[int]] = {}
-    for n, k in enumerate(keys):
-        groups.setdefault(k & low, []).append(n)
-    move, at = [0] * (low + 1), [-1] * (mask + 1)
-    for g, ns in sorted(groups.items(), key=lambda x: -len(x[1])):
-        for d in range(mask + 1):
-            places = [((keys[n] >> bits) + d * (1 + 2 * (keys[n] & 4095 ^ keys[n] >> 20 & 4095))) & mask for n in ns]
-            if len(set(places)) == len(ns) and all(at[p] < 0 for p in places):
-                break
-        else:
-            raise ValueError("no displacement found")
-        move[g] = d
-        for n, p in zip(ns, places, strict=True):
-            at[p] = n
-    return move, at
-
-
-class LiteralMap:
-    """A map from longs below 2^62, not negative, as literal arrays."""
-
-    def __init__(self, keys: list[int]):
-        self.bits = max(4, (max(1, len(keys)) - 1).bit_length())
-        self.move, self.at = _displace(keys, self.bits)
-
-    def slot(self, key: Column) -> Column:
-        """The slot that the key has if it is in the map."""
-        low = lambda n: F.lit(n).cast("bigint")
-        d = F.get(_ints(self.move, "bigint"), key.bitwiseAND(low((1 << self.bits) - 1)).cast("int"))
-        step = key.bitwiseAND(low(4095)).bitwiseXOR(F.shiftright(key, 20).bitwiseAND(low(4095))) * 2 + 1
-        return (F.shiftright(key, self.bits) + d * step).bitwiseAND(low((2 << self.bits) - 1)).cast("int")
-
-    def spread(self, values: list, empty) -> list:
-        """The values, in the order of the keys, by slot."""
-        return [values[n] if n >= 0 else empty for n in self.at]
+class RankMap:
+    """The literal rank map: the id that a pair of ids merges into, which is also its rank.
 
+    Pairs of bytes have a table of their own, at a * 256 + b. The others are displaced by hash, so that no two meet: their
+    keys, left * SPREAD + right, lie at a slot that the low bits of the key displace, as key << 16 | id.
+    """
 
-class RankMap:
-    """The id that a pair of ids merges into, which is also its rank: one literal array of key << 16 | id."""
+    SPREAD, BITS = 99991, 16
 
     def __init__(self, merges: list[tuple[int, int, int]]):
-        keys = [a * _SPREAD + b for a, b, _ in merges]
-        self.map = LiteralMap(keys)
-        self.table = self.map.spread([k << 16 | c for k, (*_, c) in zip(keys, merges, strict=True)], -1)
+        self.bytes = [-1] * 65536
+        for a, b, c in merges:
+            if a < 256 and b < 256:
+                self.bytes[a * 256 + b] = c
+        low, mask = (1 << self.BITS) - 1, (2 << self.BITS) - 1
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for a, b, c in merges:
+            k = a * self.SPREAD + b
+            groups.setdefault(k & low, []).append((k, c))
+        self.move, self.table = [0] * (low + 1), [-1] * (mask + 1)
+        for g, pairs in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            for d in range(mask + 1):
+                at = [((k >> 13) + d * (1 + 2 * (k & 8191))) & mask for k, _ in pairs]
+                if len(set(at)) == len(at) and all(self.table[p] < 0 for p in at):
+                    break
+            else:
+                raise ValueError("no displacement found")
+            self.move[g] = d
+            for (k, c), p in zip(pairs, at, strict=True):
+                self.table[p] = k << 16 | c
+
+    def byte_rank(self, a: Column, b: Column) -> Column:
+        """The rank of two bytes; null if they don't merge, or b is null."""
+        return F.nullif(F.get(_ints(self.bytes), a * 256 + b), F.lit(-1))
 
     def rank(self, a: Column, b: Column) -> Column:
-        """Null if the pair doesn't merge, or one of them is null. a and b are longs."""
-        key = a * _SPREAD + b
-        hit = lambda v: F.when(F.shiftright(v, 16) == key, v.bitwiseAND(F.lit(65535).cast("bigint")))
-        return _let(F.get(_ints(self.table, "bigint"), self.map.slot(key)), hit)
+        """Null if the pair doesn't merge, or one of them is null."""
+        big = lambda n: F.lit(n).cast("bigint")
+
+        def look(k: Column) -> Column:
+            d = F.get(_ints(self.move, "bigint"), k.bitwiseAND(big((1 << self.BITS) - 1)).cast("int"))
+            place = (F.shiftright(k, 13) + d * (1 + 2 * k.bitwiseAND(big(8191)))).bitwiseAND(big((2 << self.BITS) - 1)).cast("int")
+            return _let(F.get(_ints(self.table, "bigint"), place), lambda v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(big(65535)).cast("int")))
+
+        return F.when(a.isNotNull() & b.isNotNull(), _let(a.cast("bigint") * self.SPREAD + b, look))
+
+
+class WordMap:
+    """Ids of words by 64-bit hash, at the low bits of the hash; of words that meet there the first stays, the others are left out."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self, rows: list):
+        hashes, lists = [0] * self.SLOTS, [None] * self.SLOTS
+        for r in rows:
+            if lists[r.h % self.SLOTS] is None:
+                hashes[r.h % self.SLOTS], lists[r.h % self.SLOTS] = r.h, r.ids
+        self.hashes, self.lists = _ints(hashes, "bigint"), F.from_json(F.lit(json.dumps(lists)), "array<array<int>>")
+
+    def ids(self, h: Column) -> Column:
+        slot = h.bitwiseAND(F.lit(self.SLOTS - 1).cast("bigint")).cast("int")
+        return F.when(F.get(self.hashes, slot) == h, F.get(self.lists, slot))
 
 
 @lru_cache(maxsize=2)
@@ -116,13 +124,14 @@ def _let(value: Column, body) -> Column:
 def _bytes(word: Column, byte_ids: list[int]) -> Column:
     """The ids of a word's bytes."""
     chars = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.get(_ints(byte_ids, "bigint"), F.ascii(c)))
+    return F.transform(chars, lambda c: F.get(_ints(byte_ids), F.ascii(c)))
 
 
 def encode_word(word: Column, folder: str = TOKENIZERS) -> Column:
     """The ids of one word: the fold of ranked merges over its bytes."""
     byte_ids, merges, _ = rank_table(folder)
-    rank = RankMap(merges).rank
+    book = RankMap(merges)
+    rank = book.rank
 
     def step(s: Column, _: Column) -> Column:
         """Merge the leftmost pair of the lowest rank; only the ranks beside it change."""
@@ -139,10 +148,10 @@ def encode_word(word: Column, folder: str = TOKENIZERS) -> Column:
         over = F.struct(s["t"].alias("t"), s["r"].alias("r"), F.lit(True).alias("d"))
         return F.when(s["d"], s).otherwise(_let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), over).otherwise(_let(place(m), merged))))
 
-    ranks = lambda t: F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))
+    ranks = lambda t: F.transform(t, lambda a, i: book.byte_rank(a, F.get(t, i + 1)))
     start = _let(_bytes(word, byte_ids), lambda t: F.struct(t.alias("t"), ranks(t).alias("r"), F.lit(False).alias("d")))
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, start, step, lambda s: s["t"]).cast("array<int>")
+    return F.aggregate(turns, start, step, lambda s: s["t"])
 
 
 def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
@@ -154,10 +163,10 @@ def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
     chars = F.split(F.lit("\u0001".join(sign(b) for b in byte_ids)), "\u0001")
     pair_of = F.split(F.lit("\u0001".join(sign(a) + sign(b) for a, b, _ in merges)), "\u0001")
     sign_of = F.split(F.lit("\u0001".join(sign(c) for *_, c in merges)), "\u0001")
-    ids = lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: (F.ascii(c) - _PLANE).cast("bigint"))
+    ids = lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c) - _PLANE)
 
     def step(s: Column, _: Column) -> Column:
-        low = _let(ids(s["t"]), lambda t: F.array_min(F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))).cast("int"))
+        low = _let(ids(s["t"]), lambda t: F.array_min(F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))))
         new = lambda m: F.when(m.isNull(), F.struct(s["t"].alias("t"), F.lit(True).alias("d"))).otherwise(
             F.struct(F.replace(s["t"], F.get(pair_of, m - first), F.get(sign_of, m - first)).alias("t"), F.lit(False).alias("d"))
         )
@@ -166,7 +175,7 @@ def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
     parts = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
     start = F.array_join(F.transform(parts, lambda c: F.get(chars, F.ascii(c))), "")
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, F.struct(start.alias("t"), F.lit(False).alias("d")), step, lambda s: ids(s["t"])).cast("array<int>")
+    return F.aggregate(turns, F.struct(start.alias("t"), F.lit(False).alias("d")), step, lambda s: ids(s["t"]))
 
 
 def split_words(text: Column) -> Column:
@@ -183,32 +192,21 @@ def dictionary(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return materialize(a.unionByName(b), "dictionary")
 
 
-def _hash(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 2)
-
-
 def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> DataFrame:
     """(doc_id, ids): the ids of each text, without special tokens. An empty or null text has an empty list.
 
     doc_id is taken as unique; repeated rows of one doc_id give repeated rows. Other columns are ignored.
     """
     book = dictionary(documents, folder)
-    top = book.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids", _hash(F.col("word")).alias("h")).collect()
-    seen: set[int] = set()
-    top = [r for r in top if not (r.h in seen or seen.add(r.h))]
-    table = LiteralMap([r.h for r in top])
-    hashes = _ints(table.spread([r.h for r in top], -1), "bigint")
-    lists = F.from_json(F.lit(json.dumps(table.spread([r.ids for r in top], []))), "array<array<int>>")
-
-    # hash, slot and ids of each word, in turn; a word is known by 62 bits of its hash
-    hashed = F.transform(split_words(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("w"), _hash(w).alias("h")))
-    slotted = F.transform(hashed, lambda x: F.struct(x["w"].alias("w"), x["h"].alias("h"), table.slot(x["h"]).alias("s")))
-    pieces = F.transform(slotted, lambda x: F.struct(x["w"].alias("w"), F.when(F.get(hashes, x["s"]) == x["h"], F.get(lists, x["s"])).alias("i")))
+    known = WordMap(book.orderBy(F.desc("n"), "word").limit(hot).select("ids", F.xxhash64("word").alias("h")).collect())
+
+    # words, their hashes, their ids where the map has them
+    w = split_words(F.coalesce("text", F.lit("")))
+    cut = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), w.alias("w"))
+    cut = cut.select("*", F.transform(F.transform("w", lambda x: F.xxhash64(x)), known.ids).alias("i"))
     # a rest word stands as minus its place among the text's rest words
-    rest = lambda p: F.array_distinct(F.transform(F.filter(p, lambda x: x["i"].isNull()), lambda x: x["w"]))
-    marked = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), pieces.alias("p"))
-    marked = marked.select("doc_id", "_k", "p", rest(F.col("p")).alias("rest"))
-    filled = F.flatten(F.transform("p", lambda x: F.coalesce(x["i"], F.array((-F.array_position("rest", x["w"])).cast("int")))))
+    marked = cut.select("*", F.array_distinct(F.filter("w", lambda _, k: F.get("i", k).isNull())).alias("rest"))
+    filled = F.flatten(F.transform("i", lambda x, k: F.coalesce(x, F.array((-F.array_position("rest", F.get("w", k))).cast("int")))))
     marked = materialize(marked.select("doc_id", "_k", filled.alias("ids"), "rest"), "marked")
     whole = marked.filter(F.size("rest") == 0).select("doc_id", "ids")
     open_ = marked.filter(F.size("rest") > 0)
