@@ -14,6 +14,7 @@ the texts by a join. Text between backquotes is an example, not a case.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,13 @@ _CYRILLIC = ("cp1251", "koi8_r")
 _LOST = 0xFFFD
 
 
+@lru_cache(maxsize=None)
 def _high(encoding: str) -> np.ndarray:
     """The characters of bytes 0..255; undefined ones stand for the control character of the same number."""
     return np.array([ord(bytes([b]).decode(encoding, "ignore") or chr(b)) for b in range(256)])
 
 
+@lru_cache(maxsize=None)
 def _bytes_of(encoding: str) -> np.ndarray:
     """The byte of each character below U+10000 or -1; cp1252 also takes the control characters of latin-1."""
     t = np.full(0x10000, -1, np.int32)
@@ -232,9 +235,7 @@ def label(tokens: list[str], model: Model) -> list[tuple[str, str, float]]:
             ends = size[rows] == i + 1
             final[:, ends] = score[:, ends]
         best = final.argmax(axis=0)
-        for r in range(len(rows)):
-            if not came[:, :, r].any() and not best[r]:
-                continue  # the path never left clean
+        for r in np.flatnonzero((best > 0) | came[:, 0].any(axis=0)).tolist():  # the others never left clean
             n, s = int(size[rows[r]]), int(best[r])
             path = [0] * n
             for i in range(n - 1, -1, -1):
