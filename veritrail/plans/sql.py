@@ -117,6 +117,12 @@ _ORPHANS = f"""(SELECT * FROM (SELECT r.tbl, r.period, r.path, r.src, r.target,
 CASE WHEN p.key IS NULL THEN 'missing' WHEN p.since IS NULL THEN 'deleted' WHEN p.since > r.period THEN 'late' END AS status
 FROM {_REFS} r LEFT JOIN {_PARENTS} p ON r.tbl = p.tbl AND r.target = p.key) WHERE status IS NOT NULL)"""
 
+
+
+def _moved(text: str) -> str:
+    return f"left(replace(replace({text} || ' ', m.old || '/', m.new || '/'), m.old || ' ', m.new || ' '), -1)"
+
+
 SQL: dict[str, str] = {
     "content_hash": "SELECT '/home/u/' || coalesce(source, 'none') || '/d' || doc_id || (['.py', '.md', '.ts', '.yaml', '.go', '.bin'])[doc_id % 6 + 1] AS path, sha256(text) AS hash, octet_length(encode(text))::BIGINT AS size FROM documents WHERE text IS NOT NULL",
     "node_ids": "SELECT DISTINCT path, substr(sha256(path), 1, 12) AS ns, substr(sha256(path), 1, 12) || ':__file__' AS node_id FROM paths",
@@ -172,6 +178,7 @@ b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY we
 SELECT start, 1::BIGINT AS hop, node, weight FROM a UNION ALL SELECT start, 2, node, weight FROM b""",
     "stale_candidates": f"SELECT * FROM {_CANDIDATES}",
     "rehome_outcome": f"SELECT * FROM {_OUTCOMES}",
+    "rehome_rewrite": f"SELECT n.id_hex, {_moved('n.title')} AS title, {_moved('n.body')} AS body FROM {_NOTES} n JOIN (SELECT id_hex, min(path) AS old, arg_min(new_path, path) AS new FROM {_OUTCOMES} WHERE outcome = 'REBUILT' GROUP BY id_hex) m ON n.id_hex = m.id_hex",
     "sweep_totals": f"SELECT (SELECT count(*) FROM {_NOTES}) AS total, (SELECT count(*) FROM {_CANDIDATES}) AS stale, count(*) FILTER (outcome = 'REBUILT') AS rebuilt, count(*) FILTER (outcome = 'NOTFOUND') AS removed, count(*) FILTER (outcome = 'AMBIGUOUS') AS ambiguous FROM {_OUTCOMES}",
     "seed_replace": f"WITH f AS (SELECT path AS title, regexp_extract(path, '([^/]*)$', 1) AS b FROM {_CURRENT} WHERE state = 'present') SELECT title, body FROM {_NOTES} n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.title = n.title) "
     "UNION ALL SELECT title, CASE WHEN contains(b, '_') THEN b || ' ' || replace(b, '_', ' ') ELSE b END FROM f",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ class Store:
     def lock(self):
         """One writer at a time; a lock that a dead process left is taken over. Yields None if another one writes."""
         path = f"{self.root}/LOCK"
-        mine = f"{path}.{os.getpid()}"
+        mine = f"{path}.{uuid.uuid4().hex}"
         with open(mine, "w", encoding="utf-8") as f:
             f.write(str(os.getpid()))
         held = False
