@@ -64,6 +64,18 @@ def _bytes_of(encoding: str) -> np.ndarray:
     return t
 
 
+#: Blocks of the characters that a sequence may stand for: Latin, Greek, Cyrillic, Hebrew, Arabic, symbols, East Asian scripts, emoji.
+BLOCKS = ((0x80, 0x250), (0x2B0, 0x300), (0x370, 0x530), (0x590, 0x700), (0x1E00, 0x27C0), (0x2E80, 0xA000), (0xAC00, 0xD7B0), (0xFB00, 0xFB10), (0xFE00, 0xFE70), (0xFEFF, 0x10000), (0x1F000, 0x1FB00))
+
+
+@lru_cache(maxsize=1)
+def _plausible() -> np.ndarray:
+    t = np.zeros(0x110000, bool)
+    for a, b in BLOCKS:
+        t[a:b] = True
+    return t
+
+
 class Model:
     """log P(b | a) of clean text."""
 
@@ -107,8 +119,9 @@ def _restorations(cp: np.ndarray, encodings: tuple[str, ...] = SEQUENCES):
         v4 = (byte & 7) << 18 | b1 << 12 | b2 << 6 | b3
         four = (byte >= 0xF0) & (byte <= 0xF4) & c1 & c2 & c3 & (v4 >= 0x10000) & (v4 < 0x110000)
         restored, part = cp.copy(), np.where(cp < 128, 0, 3)
+        known = _plausible()
         for at, value, size in ((two, (byte & 31) << 6 | b1, 2), (three, v3, 3), (four, v4, 4)):
-            i = np.flatnonzero(at)
+            i = np.flatnonzero(at & known[np.minimum(value, 0x10FFFF)])
             part[i] = 1
             for k in range(size):
                 restored[i + k] = value[i]
