@@ -81,7 +81,7 @@ class RankMap:
             place = (F.shiftright(k, 13) + d * (1 + 2 * k.bitwiseAND(big(8191)))).bitwiseAND(big((2 << self.BITS) - 1)).cast("int")
             return _let(F.get(_ints(self.table, "bigint"), place), lambda v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(big(65535)).cast("int")))
 
-        return F.when(a.isNotNull() & b.isNotNull(), _let(a.cast("bigint") * self.SPREAD + b, look))
+        return _let(a.cast("bigint") * self.SPREAD + b, look)
 
 
 class WordMap:
@@ -185,11 +185,9 @@ def split_words(text: Column) -> Column:
 def dictionary(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(word, n, ids): every distinct word of the corpus, how often it occurs, and its ids. Written once."""
     words = documents.select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    short = F.octet_length("word") <= SHORT
-    words = materialize(words, "words")
-    a = words.filter(short).select("word", "n", encode_word(F.col("word"), folder).alias("ids"))
-    b = words.filter(~short).select("word", "n", encode_long_word(F.col("word"), folder).alias("ids"))
-    return materialize(a.unionByName(b), "dictionary")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = F.when(F.octet_length("word") <= SHORT, encode_word(F.col("word"), folder)).otherwise(encode_long_word(F.col("word"), folder))
+    return materialize(words.repartition(n).select("word", "n", ids.alias("ids")), "dictionary")
 
 
 def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> DataFrame:
