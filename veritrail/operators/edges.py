@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.operators.skew import skewed_lookup
+from veritrail.session import materialize
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
@@ -22,11 +23,11 @@ def waiting(pending: DataFrame) -> DataFrame:
 
 def resolved(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, src, dst, relation, line): the dangling edges whose symbol is indexed. A hot symbol is looked up by broadcast."""
-    return skewed_lookup(waiting(pending), symbols(nodes), ["symbol"], "inner").select("path", "src", "dst", "relation", "line")
+    return skewed_lookup(materialize(waiting(pending), "waiting"), symbols(nodes), ["symbol"], "inner").select("path", "src", "dst", "relation", "line")
 
 
 def unresolved(pending: DataFrame, nodes: DataFrame) -> DataFrame:
-    return skewed_lookup(waiting(pending), symbols(nodes), ["symbol"]).filter("dst is null").select("path", "src", "symbol", "relation", "line")
+    return skewed_lookup(materialize(waiting(pending), "waiting"), symbols(nodes), ["symbol"]).filter("dst is null").select("path", "src", "symbol", "relation", "line")
 
 
 def pending_union(pending: DataFrame, dirty_paths: DataFrame, fresh_symbols: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import paths as P
@@ -383,6 +383,35 @@ def hit_rate(spark, sf_dir):
     return sessions.hit_rates(table(spark, sf_dir, "events"))
 
 
+@query
+def p50_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.count("value").alias("n"))
+
+
+@query
+def answer_classes(spark, sf_dir):
+    """Answers by class and day, one column a class."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return e.groupBy("day").pivot("event_type", ["purchase", "view", "error"]).agg(F.count("event_id")).na.fill(0).selectExpr("day", "purchase as strong", "view as weak", "error as miss")
+
+
+@query
+def orient_hits(spark, sf_dir):
+    """What a session is shown first: the three best notes, then those linked by name to their files, each title once, six in all."""
+    (n,) = _t(spark, sf_dir, "nodes")
+    hits = _hits(spark, sf_dir)
+    best = hits.orderBy(F.desc("score"), "id_hex").limit(3).select("id_hex", "title", "path", F.lit(0).alias("src"), "score")
+    name = P.basename(F.col("path"))
+    linked = stale.notes(n).select("id_hex", "title", F.get(P.prose_paths(F.col("body")), F.lit(0)).alias("path"))
+    near = linked.join(F.broadcast(best.select(name.alias("name"), "score").filter("name is not null").groupBy("name").agg(F.max("score").alias("score"))), P.basename(linked.path) == F.col("name"))
+    both = best.drop("path").unionByName(near.select("id_hex", "title", F.lit(1).alias("src"), "score"))
+    key = F.split("title", r" \[")[0]
+    w = Window.partitionBy(key).orderBy("src", F.desc("score"), "id_hex")
+    one = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return one.orderBy("src", F.desc("score"), "id_hex").limit(6).select("id_hex", "title", F.col("src").cast("bigint").alias("src"), "score")
+
+
 @query
 def tumbling_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -193,6 +193,12 @@ SELECT start, 1::BIGINT AS hop, node, weight FROM a UNION ALL SELECT start, 2, n
     "telemetry_trend": f"SELECT first_nodes, last_nodes, days, last_nodes - first_nodes AS delta, CAST(round((last_nodes - first_nodes)::DOUBLE / days) AS BIGINT) AS per_day FROM (SELECT arg_min(nodes, day) AS first_nodes, arg_max(nodes, day) AS last_nodes, greatest(date_diff('day', min(day)::DATE, max(day)::DATE), 1) AS days FROM {_SHOTS})",
     "tail_snapshots": f"SELECT * FROM {_SHOTS} ORDER BY day DESC LIMIT 14",
     "hit_rate": "SELECT day, coalesce(round(s::DOUBLE / nullif(s + w + m, 0), 3), 0) AS rate FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') AS s, count(*) FILTER (event_type = 'view') AS w, count(*) FILTER (event_type = 'error') AS m FROM events GROUP BY 1)",
+    "p50_values": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, count(value) AS n FROM events GROUP BY event_type",
+    "answer_classes": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') AS strong, count(*) FILTER (event_type = 'view') AS weak, count(*) FILTER (event_type = 'error') AS miss FROM events GROUP BY 1",
+    "orient_hits": f"""WITH best AS (SELECT * FROM {_HITS} ORDER BY score DESC, id_hex LIMIT 3), f AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS name, max(score) AS score FROM best WHERE path IS NOT NULL GROUP BY 1),
+u AS (SELECT id_hex, title, 0 AS src, score FROM best UNION ALL SELECT n.id_hex, n.title, 1, f.score FROM (SELECT id_hex, title, {_prose('body')}[1] AS path FROM {_NOTES}) n JOIN f ON regexp_extract(n.path, '([^/]*)$', 1) = f.name),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY split_part(title, ' [', 1) ORDER BY src, score DESC, id_hex) = 1)
+SELECT id_hex, title, src::BIGINT AS src, score FROM o ORDER BY src, score DESC, id_hex LIMIT 6""",
     "tumbling_windows": "SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "session_windows": "WITH g AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL '6 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) "
     "SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL '6 hours') AS \"end\", count(*) AS n FROM g GROUP BY user_id, s",
