@@ -30,3 +30,19 @@ def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     a = marked.filter("_hot").drop("_hot").join(F.broadcast(some), keys, how)
     b = marked.filter("_hot is null").drop("_hot").join(right.hint("merge"), keys, how)
     return a.unionByName(b)
+
+
+def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the largest counts, at most `most` of them, whatever the number of rows.
+
+    Cut at a sixteenth of an octave, found from a histogram of at most 1,008 rows; so that no task sends more than its
+    share of the result to the driver, and rows of one count stay together.
+    """
+    step = F.floor(F.log2(n) * 16)
+    held, cut = 0, 0
+    for r in sorted(counts.filter(F.col(n) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+        held += r["rows"]
+        if held > most:
+            cut = r["step"] + 1
+            break
+    return counts.filter((F.col(n) > 0) & (step >= cut))
