@@ -18,6 +18,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.operators.skew import frequent
 from veritrail.session import materialize
 
 #: Where the files of the public tokenizers lie; a parameter of each function that reads them.
@@ -85,13 +86,13 @@ class RankMap:
 
 
 class WordMap:
-    """Ids of words by 64-bit hash, at the low bits of the hash; of words that meet there the first stays, the others are left out."""
+    """Ids of words by 64-bit hash, at the low bits of the hash; of words that meet there the most frequent stays, the others are left out."""
 
-    SLOTS = 1 << 18
+    SLOTS = 1 << 17
 
     def __init__(self, rows: list):
         hashes, lists = [0] * self.SLOTS, [None] * self.SLOTS
-        for r in rows:
+        for r in sorted(rows, key=lambda r: (-r.n, r.word)):
             if lists[r.h % self.SLOTS] is None:
                 hashes[r.h % self.SLOTS], lists[r.h % self.SLOTS] = r.h, r.ids
         self.hashes, self.lists = _ints(hashes, "bigint"), F.from_json(F.lit(json.dumps(lists)), "array<array<int>>")
@@ -196,7 +197,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> Da
     doc_id is taken as unique; repeated rows of one doc_id give repeated rows. Other columns are ignored.
     """
     book = dictionary(documents, folder)
-    known = WordMap(book.orderBy(F.desc("n"), "word").limit(hot).select("ids", F.xxhash64("word").alias("h")).collect())
+    known = WordMap(frequent(book, hot).select("n", "word", "ids", F.xxhash64("word").alias("h")).collect())
 
     # words, their hashes, their ids where the map has them
     w = split_words(F.coalesce("text", F.lit("")))
@@ -221,7 +222,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     fixed number, are broadcast, so that the rest has no hot key.
     """
     book = dictionary(documents, folder).select("word", "n", F.size("ids").alias("size"))
-    hot = materialize(book.orderBy(F.desc("n"), "word").limit(HOT).select("word", "size"), "hot")
+    hot = frequent(book, HOT).select("word", "size")
     each = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word"))
     near = each.join(F.broadcast(hot.withColumnRenamed("size", "s")), "word", "left")
     done = near.filter("s is not null").groupBy("doc_id").agg(F.sum("s").alias("tokens"))

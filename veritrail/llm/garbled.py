@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.operators.skew import skewed_lookup
+from veritrail.operators.skew import frequent, skewed_lookup
 from veritrail.session import materialize
 
 #: Read as; the bytes are UTF-8.
@@ -299,8 +299,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(tokens: DataFrame) -> Model:
     """The bigram model over (token, n). The driver gets at most PAIRS rows."""
-    pairs = tokens.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = pairs.orderBy(F.desc("n"), "key").limit(PAIRS).toPandas()
+    pairs = materialize(tokens.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    rows = frequent(pairs, PAIRS).toPandas()
     key, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     a, b = key >> 21, key & (2**21 - 1)
     count = dict(zip(key.tolist(), n.tolist(), strict=True))
