@@ -222,11 +222,13 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     fixed number, are broadcast, so that the rest has no hot key.
     """
     book = dictionary(documents, folder).select("word", "n", F.size("ids").alias("size"))
-    hot = frequent(book, HOT).select("word", "size")
-    each = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word"))
-    near = each.join(F.broadcast(hot.withColumnRenamed("size", "s")), "word", "left")
-    done = near.filter("s is not null").groupBy("doc_id").agg(F.sum("s").alias("tokens"))
-    rest = near.filter("s is null").select("doc_id", "word").join(book.hint("merge"), "word").groupBy("doc_id").agg(F.sum("size").alias("tokens"))
+    hot = frequent(book, HOT).select("word", F.col("size").alias("s"))
+    each = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word")).join(F.broadcast(hot), "word", "left")
+    # one row for the hot words of a text, one for each rest word
+    part = each.groupBy("doc_id", F.when(F.col("s").isNull(), F.col("word")).alias("word")).agg(F.sum("s").alias("s"), F.count("*").alias("times"))
+    part = materialize(part, "part")
+    done = part.filter("word is null").select("doc_id", F.col("s").alias("tokens"))
+    rest = part.filter("word is not null").join(book.select("word", "size").hint("merge"), "word").select("doc_id", (F.col("size") * F.col("times")).alias("tokens"))
     zero = documents.select("doc_id", F.lit(0).cast("long").alias("tokens"))
     return done.unionByName(rest).unionByName(zero).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
 
