@@ -175,7 +175,7 @@ def test_file_tree_and_extraction(spark, tmp_path):
     (tmp_path / "pkg" / "bad.py").write_text("def (")
     files.register(spark)
     load = lambda mode: spark.read.format("tree").option("roots", str(tmp_path)).option("mode", mode).load()
-    assert {r.path.rsplit("/", 1)[1]: r.size for r in load("stat").collect()} == {"__init__.py": 0, ".dot": 1, "mod.py": 65, "bad.py": 5}
+    assert {r.path.rsplit("/", 1)[1]: r.size for r in load("stat").collect()} == {"__init__.py": 0, ".dot": 1, "mod.py": 71, "bad.py": 5}
     rows = extract(load("bytes")).collect()
     mod = [r for r in rows if r.path.endswith("mod.py")]
     assert {(r.label, r.line) for r in mod if r.kind == "symbol"} == {("alpha()", 1), ("Gamma", 4), ("m()", 5)}
