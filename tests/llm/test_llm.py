@@ -166,6 +166,20 @@ def test_partners_among_many_rivals_of_one_template(spark, monkeypatch):
         assert len(got) >= 39  # each is missed by the bands with a probability of 0.007 at most
 
 
+def test_a_set_signed_by_several_tasks_counts_once_in_a_bucket():
+    import pyarrow as pa
+
+    def links(rows, cut):
+        columns = list(zip(*rows, strict=True))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "set_id", "low", "high"])
+        out = [r for b in neardup.bucket_links(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
+        return sorted((r["a"], r["b"]) for r in out if r["key"] is None), [r for r in out if r["key"] is not None]
+
+    rows = [(1, 10, 0, 7), *[(1, 20, 1, 7)] * 12, (1, 30, 2, 7)]  # 20 was signed by 12 tasks and would fill all the links of 30
+    for cut in (0, 5, 13):
+        assert links(rows, cut) == ([(10, 20), (10, 30), (20, 30)], [])
+
+
 def bare(x):
     return "".join(c for c in x.lower() if unicodedata.category(c)[0] in "LN")
 
