@@ -97,6 +97,26 @@ def test_graph_search_finds_the_nearest(spark, sf):
     assert hit >= 0.9 * total
 
 
+def test_graph_search_has_no_lowest_cosine(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((1500, 64)).astype(np.float32)  # hardly any cosine of 0.6
+    x[1:15] = x[0]  # copies are ids of their own
+    rows = [(i.to_bytes(8, "big"), v.tolist()) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "id binary, embedding array<float>")
+    got = {}
+    for row in knn.search(t).collect():
+        got.setdefault(int(row.id_hex, 16), []).append(int(row.other_hex, 16))
+    assert set(got) == set(range(0, 1500, 20)) and all(len(v) == len(set(v)) == 10 for v in got.values())
+    assert sorted(got[0]) == list(range(1, 11))
+    x = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hit = 0
+    for q, have in got.items():
+        s = np.round(x @ x[q], 9)
+        s[q] = -2
+        hit += len(set(np.lexsort((np.arange(1500), -s))[:10].tolist()) & set(have))
+    assert hit >= 0.9 * 10 * len(got)
+
+
 # 2 and 4
 
 

@@ -14,6 +14,7 @@ Blocks have a bounded size, and the lists have at most K and REVERSE entries, so
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from veritrail.operators.skew import skewed_lookup
 from veritrail.session import materialize
 
 DIM, TREES, BLOCK, K, REVERSE, ROUNDS, SETTLED = 64, 4, 1024, 14, 12, 5, 0.005
-#: Edges of a smaller cosine don't enter the graph: they lead no neighbour of 0.85 to another.
+#: Edges of a smaller cosine don't enter the graph of nearest_pairs: they lead no neighbour of 0.85 to another. That of search has no such floor.
 FLOOR = 0.6
 
 LISTS = "u long, home long, nbrs array<struct<s:double,v:long,f:boolean>>"
@@ -103,7 +104,7 @@ def _lists(ids: np.ndarray, u: np.ndarray, v: np.ndarray, s: np.ndarray, home: i
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([home] * len(ids), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entries)], schema=_SCHEMA)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iterator[pa.RecordBatch]:
     """Rows (tree, u, vec) sorted by (tree, code) to lists; the first tree gives each u its home block."""
     part, seq = TaskContext.get().partitionId(), 0
     half = BLOCK // 2
@@ -112,15 +113,15 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block(t: int, ids: np.ndarray, x: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
         """The first `old` rows were in the block before; pairs of two of them are done."""
         s = np.round(x @ x.T, 9)
-        np.fill_diagonal(s, -1)
-        s[:old, :old] = -1
+        np.fill_diagonal(s, -2)
+        s[:old, :old] = -2
         k = min(K, len(ids) - 1)
         if k > 0:
             v = np.argpartition(-s, k - 1, axis=1)[:, :k]
             u = np.repeat(np.arange(len(ids)), k)
             v = v.ravel()
             sim = s[u, v]
-            ok = sim >= FLOOR
+            ok = sim >= floor
             u, v, sim = _top(u[ok], v[ok], sim[ok], K)
         else:
             u, v, sim = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
@@ -161,7 +162,7 @@ def _merged(lists: DataFrame, k: int = K) -> DataFrame:
     return g.select("u", "home", F.slice(F.filter("n", last), 1, k).alias("nbrs"))
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_join(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iterator[pa.RecordBatch]:
     """Rows of a block, vectors first, then the lists of its centres; to new entries of the vectors' lists."""
     block = None
     vec, mid, kth, rows = [], [], [], []
@@ -182,7 +183,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (m, f) in enumerate(part):
                 at[i, : len(m)], new[i, : len(m)], there[i, : len(m)] = np.searchsorted(ids, m), f, True
             s = np.matmul(x[at], x[at].transpose(0, 2, 1))
-            ok = (s >= FLOOR) & (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & (s > low[at][:, :, None])
+            ok = (s >= floor) & (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & (s > low[at][:, :, None])
             ok &= ~np.eye(width, dtype=bool)
             r, i, j = np.nonzero(ok)
             found.append((at[r, i], at[r, j], np.round(s[r, i, j], 9)))
@@ -215,7 +216,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from run()
 
 
-def _round(graph: DataFrame, vectors: DataFrame) -> DataFrame:
+def _round(graph: DataFrame, vectors: DataFrame, floor: float = FLOOR) -> DataFrame:
     flat = graph.select("u", "home", F.inline("nbrs"))
     forward = flat.select(F.col("u").alias("w"), F.col("home").alias("b"), F.col("v").alias("m"), "f")
     pick = Window.partitionBy("v").orderBy(F.desc("f"), F.xxhash64("u", "v"), "u")
@@ -226,23 +227,23 @@ def _round(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     centres = each.groupBy("w", "b").agg(F.collect_list(F.struct("m", "f")).alias("ms")).filter(F.exists("ms", lambda e: e["f"]) & (F.size("ms") > 1))
     centres = materialize(centres.select("b", "ms"), "centres")
     need = centres.select("b", F.explode("ms").alias("e")).select("b", F.col("e.m").alias("m")).distinct()
-    full = graph.select(F.col("u").alias("m"), F.when(F.size("nbrs") >= K, F.element_at("nbrs", -1)["s"]).otherwise(F.lit(-1.0)).alias("kth"))
+    full = graph.select(F.col("u").alias("m"), F.when(F.size("nbrs") >= K, F.element_at("nbrs", -1)["s"]).otherwise(F.lit(-2.0)).alias("kth"))
     sent = need.join(vectors.withColumnRenamed("u", "m"), "m").join(full, "m").select("b", F.lit(0).alias("tag"), "m", "vec", "kth")
     both = sent.unionByName(centres.select("b", F.lit(1).alias("tag"), "ms"), allowMissingColumns=True)
     n = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(n, "b").sortWithinPartitions("b", "tag").mapInArrow(_local_join, LISTS)
+    found = both.repartition(n, "b").sortWithinPartitions("b", "tag").mapInArrow(partial(_local_join, floor=floor), LISTS)
     known = graph.withColumn("nbrs", F.transform("nbrs", lambda e: F.struct(e["s"].alias("s"), e["v"].alias("v"), F.lit(False).alias("f"))))
     return _merged(known.unionByName(found))
 
 
-def nn_descent(vectors: DataFrame, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """(u, home, nbrs): the neighbour graph over vectors (u, vec), which must be distinct; nbrs are (s, v, f) by falling cosine s."""
+def nn_descent(vectors: DataFrame, rounds: int = ROUNDS, trees: int = TREES, floor: float = FLOOR) -> DataFrame:
+    """(u, home, nbrs): the neighbour graph over vectors (u, vec), which must be distinct; nbrs are (s, v, f) by falling cosine s, of floor or more."""
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planted = vectors.mapInArrow(_planted(trees), "tree int, code long, u long, vec binary")
-    leaves = planted.repartitionByRange(n * 2, "tree", "code").sortWithinPartitions("tree", "code", "u").mapInArrow(_leaves, LISTS)
+    leaves = planted.repartitionByRange(n * 2, "tree", "code").sortWithinPartitions("tree", "code", "u").mapInArrow(partial(_leaves, floor=floor), LISTS)
     graph = materialize(_merged(leaves), "graph")
     for _ in range(rounds):
-        graph = materialize(_round(graph, vectors), "graph")
+        graph = materialize(_round(graph, vectors, floor), "graph")
         new, entries = graph.agg(F.sum(F.size(F.filter("nbrs", lambda e: e["f"]))), F.sum(F.size("nbrs"))).first()
         if not entries or new < SETTLED * entries:
             break
@@ -279,12 +280,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(s)], ["q", "v", "s"])
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 24, step: int = 3, rounds: int = 6) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 24, step: int = 3) -> DataFrame:
     """(q, v, s): about the k nearest vectors of each query (q, qvec), by greedy search on the graph.
 
     A query enters at the vectors beside its own place in the order of the first TREES trees, then, round after round, opens the `step` best
-    vectors it has not opened, scores their neighbours, and keeps the `beam` best; it ends when nothing is left to open. Bounded
-    lists only; vectors are (u, vec).
+    vectors it has not opened, scores their neighbours, and keeps the `beam` best; it ends when nothing is left to open, as what is
+    opened stays so and what fell out of the beam can't come back. Bounded lists only; vectors are (u, vec).
     """
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = vectors.select("u", "vec", F.lit(None).cast("string").alias("q")).unionByName(queries.select(F.lit(None).cast("long").alias("u"), F.col("qvec").alias("vec"), "q"))
@@ -311,7 +312,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     entry = lambda c, opened: c.select("q", F.struct("s", "v", F.lit(opened).alias("open")).alias("e"))
     keep = lambda c: c.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, beam).alias("best"))
     state = materialize(keep(entry(score(seeds), True)), "beam")
-    for _ in range(rounds):
+    while True:
         opening = state.select("q", F.slice(F.filter("best", lambda e: e["open"]), 1, step).alias("now"), F.transform("best", lambda e: e["v"]).alias("seen"))
         opening = opening.filter(F.size("now") > 0)
         if opening.isEmpty():
@@ -326,16 +327,22 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
 
 
 def search(node_vec: DataFrame, k: int = 10) -> DataFrame:
-    """(id_hex, other_hex, cosine): the nearest directions of every usable vector whose id is divisible by 20, by greedy graph search against all.
+    """(id_hex, other_hex, cosine): the k nearest other ids of every usable vector whose id is divisible by 20, by greedy graph search against all.
 
-    A direction stands for its copies and is named by its smallest id; that of the query itself is left out.
+    There is no lowest cosine. Copies of a direction are ids of their own; ties go to the smaller hex id.
     """
     rows = materialize(members(node_vec), "vectors")
-    vectors = materialize(rows.groupBy("u").agg(F.min_by("vec", "id_hex").alias("vec"), F.min("id_hex").alias("name")), "directions")
-    graph = nn_descent(vectors.select("u", "vec"))
+    vectors = materialize(rows.groupBy("u").agg(F.min_by("vec", "id_hex").alias("vec")), "directions")
+    graph = nn_descent(vectors, floor=-1.0)
     ask = rows.filter(F.conv("id_hex", 16, 10).cast("decimal(20,0)") % 20 == 0).select(F.col("id_hex").alias("q"), F.col("vec").alias("qvec"), F.col("u").alias("own"))
-    found = graph_search(graph, vectors.select("u", "vec"), ask.select("q", "qvec"), k + 1)
-    named = found.join(ask.select("q", "own"), "q").filter("v <> own").join(vectors.select(F.col("u").alias("v"), "name"), "v")
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "name")
-    best = named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-    return best.select(F.col("q").alias("id_hex"), F.col("name").alias("other_hex"), F.col("s").alias("cosine"))
+    ask = materialize(ask, "queries")
+    each = ask.groupBy("own").agg(F.min("q").alias("q"), F.min_by("qvec", "q").alias("qvec"))  # copies ask once
+    found = graph_search(graph, vectors, each.select("q", "qvec"), k + 1)
+    w = Window.partitionBy("u").orderBy("id_hex")
+    head = rows.select("u", "id_hex").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select(F.col("u").alias("v"), F.col("id_hex").alias("other"))
+    near = found.join(each.select("q", "own"), "q").filter("v <> own").select("own", "v", "s").unionByName(each.select("own", F.col("own").alias("v"), F.lit(1.0).alias("s")))
+    entry = F.struct((-F.col("s")).alias("d"), "other")
+    best = near.join(head, "v").groupBy("own").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k + 1).alias("best"))
+    own = skewed_lookup(ask.select("own", F.col("q").alias("id_hex")), materialize(best, "best"), ["own"], "inner")
+    others = F.slice(F.filter("best", lambda e: e["other"] != F.col("id_hex")), 1, k)
+    return own.select("id_hex", F.explode(others).alias("e")).select("id_hex", F.col("e.other").alias("other_hex"), (-F.col("e.d")).alias("cosine"))
