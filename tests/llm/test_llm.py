@@ -381,6 +381,14 @@ def test_garbled_texts_are_restored(mixed):
         assert got[name] == "Start of the note. " + CLEAN[GARBLE[name][0]], name
 
 
+def test_little_dirt_of_any_single_byte_pair_is_no_clean_text(spark):
+    for written, read in (("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp850", "cp1252"), ("koi8_r", "cp1251")):
+        clean = "xжy" if written == "koi8_r" else "xéy"
+        bad = clean.encode(written).decode(read)
+        model = garbled.fit(spark.createDataFrame([(clean, 1000), (bad, 5)], "token string, n long"))
+        assert model.alone(np.array([ord(clean[1]), ord(bad[1])])).tolist() == [1000, 0], (written, read)
+
+
 def test_nothing_else_imports_this_package():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(f"{root}/veritrail"):

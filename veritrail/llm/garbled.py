@@ -305,7 +305,7 @@ def fit(tokens: DataFrame) -> Model:
     a, b = key >> 21, key & (2**21 - 1)
     count = dict(zip(key.tolist(), n.tolist(), strict=True))
     clean = np.ones(len(key), bool)
-    for written, read in SINGLES[:2]:  # what a little dirt explains is no clean text
+    for written, read in SINGLES:  # what a little dirt explains is no clean text
         byte, high = _bytes_of(read), _high(written)
         turn = lambda c: np.where((c > 127) & (c < 0x10000) & (byte[np.minimum(c, 0xFFFF)] >= 128), high[byte[np.minimum(c, 0xFFFF)]], c)  # noqa: E731, B023
         other = (turn(a) << 21 | turn(b)).tolist()
