@@ -287,11 +287,27 @@ def test_ids_and_round_trip(spark):
     assert bpe.encode(t.limit(0)).count() == 0
 
 
+@needs_files
+def test_long_words(spark):
+    """Words beyond the map, short, cut and in long parts, against the public library."""
+    tk = pytest.importorskip("tokenizers").Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    r = np.random.default_rng(5)
+    letters = lambda n, top: "".join(chr(97 + i) for i in r.integers(0, top, n))
+    texts = [letters(n, top) for n in (1, 2, 7, 63, 64, 65, 130, 900, 4000) for top in (2, 26)]
+    texts += ["".join(chr(c) for c in r.integers(0x4E00, 0x5E00, 900)), "=" * 6000, "aAaA" * 500, "é" * 65, "\u200d" * 100]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(t, hot=1).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == tk.encode(x, add_special_tokens=False).ids, x[:40]
+
+
 @needs_files
 def test_both_folds_agree(spark):
     w = spark.createDataFrame([(x,) for x in (" the", "kleandzom", "ÄÖÜß", "aaaaaaa", "ababababab", "…", "\n\n\n")], "w string")
-    for r in w.select("w", bpe.encode_word(F.col("w")).alias("a"), bpe.encode_long_word(F.col("w")).alias("b")).collect():
-        assert r.a == r.b, r.w
+    codes = F.transform(F.split(F.decode(F.col("w").cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    both = bpe.with_rank_map(lambda book: F.array(*(fold(book, F.transform(codes, lambda x: F.get(book, x))) for fold in (bpe._fold, bpe._fold_all))))
+    for r in w.select("w", both.alias("x")).collect():
+        assert r.x[0] == r.x[1], r.w
 
 
 def check_packing(rows, sizes, capacity):

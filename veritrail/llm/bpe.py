@@ -1,11 +1,12 @@
 """Byte-level BPE of a whole corpus with Spark's higher-order functions.
 
 1. The distinct words of the corpus are counted; partial counts are combined before the shuffle.
-2. Each distinct word is encoded once: a fold over its byte array merges the adjacent pair of the lowest rank, looked
-   up in a literal rank map, until no pair has a rank.
-3. The HOT most frequent words (a fixed number) become a literal word map, and the texts are encoded with it where they lie. A
-   word beyond them holds less than 1/HOT of all occurrences, so that the join for these rest words has no hot key.
-The rank map and the word map are literal arrays, read by position.
+2. A word is encoded by a fold over its byte array: each turn merges the adjacent pair of the lowest rank, looked up in a literal
+   rank map, until no pair has a rank.
+3. The HOT most frequent words (a fixed number) are encoded once and become a literal word map. The texts are encoded where they lie:
+   a word of the map takes its ids from there, any other one is folded on the spot. A word beyond the map holds less than 1/HOT of
+   all occurrences, most hold a single one, so that a fold costs less than a shuffle of the word and of the text's ids would.
+No text, word or id is shuffled but for the counts. The rank map and the word map are literal arrays, read by position, and stand once in a plan.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import os
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,211 +28,225 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the split of texts into words before the merges, as published with the vocabulary; (?U) for Unicode blanks.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HOT = 16384
-#: Bytes of a word up to which pairs are merged one at a time; longer ones merge all occurrences of a pair at once.
-SHORT = 64
+#: Bytes of a word up to which it is folded whole; a longer one is cut first. Bytes of a part up to which one pair is merged a turn.
+SHORT, PART = 64, 1024
 _MOST = 1 << 20
-#: Token ids as single characters, for long words: the code point of id 0.
-_PLANE = 0x10000
+#: Token ids as single characters, for long parts: the code point of id 0.
+_PLANE = 0x100
+#: No token, beside the first and the last one.
+_NONE = 0xFFFF
+#: A pair that doesn't merge has this rank or more.
+_NEVER = 1 << 50
 
 
-def _ints(values: list[int], kind: str = "int") -> Column:
-    """A literal array; folded to a constant when the plan is optimised."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+@lru_cache(maxsize=2)
+def rank_table(folder: str, name: str = "byte_bpe_50k") -> tuple[list[int], np.ndarray, list[bytes]]:
+    """(id of each byte, merges as rows (left id, right id, id) by rank, bytes of each id)."""
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(f"{folder}/{name}.json", encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    v = model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    merges = np.array([(v[a], v[b], v[a + b]) for a, b in pairs], np.int64)
+    pieces = [b""] * (max(ids.values()) + 1)
+    for piece, i in ids.items():
+        pieces[i] = piece
+    return [ids[bytes([b])] for b in range(256)], merges, pieces
 
 
-class RankMap:
-    """The literal rank map: the id that a pair of ids merges into, which is also its rank.
+#: Where the bits and the displacements begin in the rank map.
+_BITS, _MOVES = 256, 256 + 2048
 
-    Pairs of bytes have a table of their own, at a * 256 + b. The others are displaced by hash, so that no two meet: their
-    keys, left * SPREAD + right, lie at a slot that the low bits of the key displace, as key << 16 | id.
+
+@lru_cache(maxsize=2)
+def rank_map(folder: str) -> str:
+    """The literal rank map as text: ids of the 256 bytes, then which pairs of bytes stand beside each other in some token (a bit each,
+    32 a number, by left * 256 + right), then a displacement for each left id, then the shared rows.
+
+    The pairs of one left id are one sparse row by right id; the rows are laid into one array, displaced so that no two entries
+    meet. The entry of a pair is left << 16 | id, in 32 bits, where id is what the pair merges into, which is also its rank.
     """
+    byte_ids, merges, pieces = rank_table(folder)
+    if len(pieces) >= _NONE:
+        raise ValueError("ids of 16 bits only")
+    order = np.lexsort((merges[:, 1], merges[:, 0]))
+    left, right, into = merges[order].T
+    starts = np.flatnonzero(np.diff(left, prepend=-1))
+    ends = np.append(starts[1:], len(left))
+    held = np.zeros(16 * len(pieces), np.int64)
+    move = np.full(len(pieces), 1 << 30, np.int64)  # a left id without pairs points beyond the end
+    free = 0
+    for i in np.argsort(starts - ends, kind="stable").tolist():  # the longest row first
+        row = right[starts[i] : ends[i]] - right[starts[i]]
+        while held[free]:
+            free += 1
+        at = free
+        while len(row) > 1:
+            fits = np.ones(4096, bool)
+            for x in row:
+                fits &= held[at + x : at + x + 4096] == 0
+            if fits.any():
+                at += int(fits.argmax())
+                break
+            at += 4096
+        held[at + row] = left[starts[i]] << 16 | into[starts[i] : ends[i]]
+        move[left[starts[i]]] = at - int(right[starts[i]])
+    held = held[: int(np.flatnonzero(held)[-1]) + 1]
+    move += _MOVES + len(move)
+    beside = np.zeros(65536, np.int64)
+    for p in pieces:
+        b = np.frombuffer(p, np.uint8).astype(np.int64)
+        beside[b[:-1] << 8 | b[1:]] = 1
+    bits = (beside.reshape(-1, 32) << np.arange(32)).sum(axis=1)
+    numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), np.minimum(move, 2**31 - 1 - _NONE), held.astype(np.uint32).view(np.int32)]
+    return ",".join(map(str, np.concatenate(numbers).tolist()))
 
-    SPREAD, BITS = 99991, 16
-
-    def __init__(self, merges: list[tuple[int, int, int]]):
-        self.bytes = [-1] * 65536
-        for a, b, c in merges:
-            if a < 256 and b < 256:
-                self.bytes[a * 256 + b] = c
-        low, mask = (1 << self.BITS) - 1, (2 << self.BITS) - 1
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for a, b, c in merges:
-            k = a * self.SPREAD + b
-            groups.setdefault(k & low, []).append((k, c))
-        self.move, self.table = [0] * (low + 1), [-1] * (mask + 1)
-        for g, pairs in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-            for d in range(mask + 1):
-                at = [((k >> 13) + d * (1 + 2 * (k & 8191))) & mask for k, _ in pairs]
-                if len(set(at)) == len(at) and all(self.table[p] < 0 for p in at):
-                    break
-            else:
-                raise ValueError("no displacement found")
-            self.move[g] = d
-            for (k, c), p in zip(pairs, at, strict=True):
-                self.table[p] = k << 16 | c
 
-    def byte_rank(self, a: Column, b: Column) -> Column:
-        """The rank of two bytes; null if they don't merge, or b is null."""
-        return F.nullif(F.get(_ints(self.bytes), a * 256 + b), F.lit(-1))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """Null if the pair doesn't merge, or one of them is null."""
-        big = lambda n: F.lit(n).cast("bigint")
 
-        def look(k: Column) -> Column:
-            d = F.get(_ints(self.move, "bigint"), k.bitwiseAND(big((1 << self.BITS) - 1)).cast("int"))
-            place = (F.shiftright(k, 13) + d * (1 + 2 * k.bitwiseAND(big(8191)))).bitwiseAND(big((2 << self.BITS) - 1)).cast("int")
-            return _let(F.get(_ints(self.table, "bigint"), place), lambda v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(big(65535)).cast("int")))
+def with_rank_map(body, folder: str = TOKENIZERS) -> Column:
+    """body(rank map): the literal stands once, whatever body does with it."""
+    return _let(F.split(F.lit(rank_map(folder)), ",").cast("array<int>"), body)
 
-        return _let(a.cast("bigint") * self.SPREAD + b, look)
 
+def _pair(book: Column, key: Column) -> Column:
+    """rank << 32 | left << 16 | right of the pair key = left << 16 | right, a long; _NEVER | key if it doesn't merge."""
+    left = F.shiftright(key, 16).cast("int")
+    at = F.get(book, left + _MOVES) + key.bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int")
+    id_ = lambda v: F.shiftleft(v.bitwiseAND(F.lit(_NONE)).cast("bigint"), 32)
+    found = lambda v: F.when(F.shiftrightunsigned(v, 16) == left, id_(v).bitwiseOR(key)).otherwise(key.bitwiseOR(F.lit(_NEVER).cast("bigint")))
+    return _let(F.get(book, at), found)
 
-class WordMap:
-    """Ids of words by 64-bit hash, at the low bits of the hash; of words that meet there the most frequent stays, the others are left out."""
 
-    SLOTS = 1 << 17
+def _start(book: Column, tokens: Column) -> Column:
+    """The pairs of adjacent tokens, one before the first and one after the last token included."""
+    key = lambda t: lambda a, i: _pair(book, F.shiftleft(a.cast("bigint"), 16).bitwiseOR(F.coalesce(F.get(t, i + 1), F.lit(_NONE)).cast("bigint")))
+    return _let(F.concat(F.array(F.lit(_NONE)), tokens), lambda t: F.transform(t, key(t)))
 
-    def __init__(self, rows: list):
-        hashes, lists = [0] * self.SLOTS, [None] * self.SLOTS
-        for r in sorted(rows, key=lambda r: (-r.n, r.word)):
-            if lists[r.h % self.SLOTS] is None:
-                hashes[r.h % self.SLOTS], lists[r.h % self.SLOTS] = r.h, r.ids
-        self.hashes, self.lists = _ints(hashes, "bigint"), F.from_json(F.lit(json.dumps(lists)), "array<array<int>>")
 
-    def ids(self, h: Column) -> Column:
-        slot = h.bitwiseAND(F.lit(self.SLOTS - 1).cast("bigint")).cast("int")
-        return F.when(F.get(self.hashes, slot) == h, F.get(self.lists, slot))
+def _tokens(pairs: Column) -> Column:
+    return F.transform(F.slice(pairs, 2, _MOST), lambda e: F.shiftright(e, 16).bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int"))
 
 
-@lru_cache(maxsize=2)
-def rank_table(folder: str, name: str = "byte_bpe_50k") -> tuple[list[int], list[tuple[int, int, int]], list[bytes]]:
-    """(id of each byte, merges (left id, right id, id) by rank, bytes of each id)."""
-    with open(f"{folder}/{name}.json", encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    v = model["vocab"]
-    pieces = [b""] * (max(ids.values()) + 1)
-    for piece, i in ids.items():
-        pieces[i] = piece
-    return [ids[bytes([b])] for b in range(256)], [(v[a], v[b], v[a + b]) for a, b in pairs], pieces
+def _beside(book: Column, before: Column, token: Column, after: Column) -> Column:
+    """The two pairs that a new token makes with its neighbours."""
+    left = before.bitwiseAND(F.lit(_NONE << 16).cast("bigint")).bitwiseOR(token)
+    right = F.shiftleft(token, 16).bitwiseOR(after.bitwiseAND(F.lit(_NONE).cast("bigint")))
+    return F.transform(F.array(left, right), lambda k: _pair(book, k))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _fold(book: Column, tokens: Column) -> Column:
+    """Ranked merges over an array of tokens; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change."""
 
+    def step(s: Column, _: Column) -> Column:
+        def merged(m: Column) -> Column:
+            new = lambda p: F.concat(F.slice(s, F.lit(1), p - 2), _beside(book, F.get(s, p - 2), F.shiftright(m, 32), F.get(s, p)), F.slice(s, p + 2, F.lit(_MOST)))
+            return F.when(m >= _NEVER, s).otherwise(_let(F.array_position(s, m).cast("int"), new))
 
-def _bytes(word: Column, byte_ids: list[int]) -> Column:
-    """The ids of a word's bytes."""
-    chars = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.get(_ints(byte_ids), F.ascii(c)))
+        return _let(F.array_min(s), merged)
 
+    return F.aggregate(tokens, _start(book, tokens), step, _tokens)
 
-def encode_word(word: Column, folder: str = TOKENIZERS) -> Column:
-    """The ids of one word: the fold of ranked merges over its bytes."""
-    byte_ids, merges, _ = rank_table(folder)
-    book = RankMap(merges)
-    rank = book.rank
 
-    def step(s: Column, _: Column) -> Column:
-        """Merge the leftmost pair of the lowest rank; only the ranks beside it change."""
-
-        def merged(x: Column) -> Column:
-            m, p = x["m"], x["p"]  # p: its place, from 1
-            t, r = s["t"], s["r"]
-            new = F.concat(F.slice(t, 1, p - 1), F.array(m), F.slice(t, p + 2, _MOST))
-            before = F.when(p > 1, F.array(rank(F.get(t, p - 2), m))).otherwise(F.slice(r, 1, 0))
-            ranks = F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), before, F.array(rank(m, F.get(t, p + 1))), F.slice(r, p + 2, _MOST))
-            return F.struct(new.alias("t"), ranks.alias("r"), F.lit(False).alias("d"))
-
-        place = lambda m: F.struct(m.alias("m"), F.array_position(s["r"], m).cast("int").alias("p"))
-        over = F.struct(s["t"].alias("t"), s["r"].alias("r"), F.lit(True).alias("d"))
-        return F.when(s["d"], s).otherwise(_let(F.array_min(s["r"]), lambda m: F.when(m.isNull(), over).otherwise(_let(place(m), merged))))
-
-    ranks = lambda t: F.transform(t, lambda a, i: book.byte_rank(a, F.get(t, i + 1)))
-    start = _let(_bytes(word, byte_ids), lambda t: F.struct(t.alias("t"), ranks(t).alias("r"), F.lit(False).alias("d")))
-    turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, start, step, lambda s: s["t"])
-
-
-def encode_long_word(word: Column, folder: str = TOKENIZERS) -> Column:
-    """The same for a word of any length: the state is a string with a character per token, and each turn replaces all occurrences of the pair."""
-    byte_ids, merges, _ = rank_table(folder)
-    rank = RankMap(merges).rank
-    sign = lambda i: chr(_PLANE + i)
-    first = merges[0][2]
-    chars = F.split(F.lit("\u0001".join(sign(b) for b in byte_ids)), "\u0001")
-    pair_of = F.split(F.lit("\u0001".join(sign(a) + sign(b) for a, b, _ in merges)), "\u0001")
-    sign_of = F.split(F.lit("\u0001".join(sign(c) for *_, c in merges)), "\u0001")
-    ids = lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c) - _PLANE)
+def _sign(token: Column) -> Column:
+    """A token as one character."""
+    return F.decode(F.unhex(F.lpad(F.hex(token.cast("bigint") + _PLANE), 4, "0")), "UTF-16BE")
+
+
+def _fold_all(book: Column, tokens: Column) -> Column:
+    """The same for long arrays: the state is a string with a character per token, and a turn merges all occurrences of the pair."""
+    ids = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c) - _PLANE)
+    state = lambda t, done: F.struct(t.alias("t"), F.lit(done).alias("done"))
+    half = lambda m, bits: F.shiftright(m, bits).bitwiseAND(F.lit(_NONE).cast("bigint"))
 
     def step(s: Column, _: Column) -> Column:
-        low = _let(ids(s["t"]), lambda t: F.array_min(F.transform(t, lambda a, i: rank(a, F.get(t, i + 1)))))
-        new = lambda m: F.when(m.isNull(), F.struct(s["t"].alias("t"), F.lit(True).alias("d"))).otherwise(
-            F.struct(F.replace(s["t"], F.get(pair_of, m - first), F.get(sign_of, m - first)).alias("t"), F.lit(False).alias("d"))
-        )
-        return F.when(s["d"], s).otherwise(_let(low, new))
+        new = lambda m: F.when(m >= _NEVER, state(s["t"], True)).otherwise(state(F.replace(s["t"], F.concat(_sign(half(m, 16)), _sign(half(m, 0))), _sign(half(m, 32))), False))
+        return F.when(s["done"], s).otherwise(_let(F.array_min(_start(book, ids(s["t"]))), new))
 
-    parts = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    start = F.array_join(F.transform(parts, lambda c: F.get(chars, F.ascii(c))), "")
-    turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.aggregate(turns, F.struct(start.alias("t"), F.lit(False).alias("d")), step, lambda s: ids(s["t"]))
+    return F.aggregate(tokens, state(F.array_join(F.transform(tokens, _sign), ""), False), step, lambda s: ids(s["t"]))
+
+
+def _cut(book: Column, codes: Column) -> Column:
+    """The codes of a word's bytes in parts: cut where no token holds the two bytes beside each other, which no merge can bridge."""
+    key = lambda a, b: a * 256 + b
+    bridged = lambda k: F.shiftright(F.get(book, F.shiftright(k, 5) + _BITS), 0).bitwiseAND(F.get(F.array(*(F.lit(1 << i if i < 31 else -(2**31)) for i in range(32))), k.bitwiseAND(F.lit(31)))) != 0
+    at = F.transform(codes, lambda a, i: F.when((i == 0) | ~_let(key(F.get(codes, i - 1), a), bridged), i + 1))
+    begin = F.array_compact(at)
+    return _let(begin, lambda c: F.transform(c, lambda b, i: F.slice(codes, b, F.coalesce(F.get(c, i + 1), F.size(codes) + 1) - b)))
+
+
+def encode_word(book: Column, word: Column) -> Column:
+    """The ids of one word of any length."""
+    codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    tokens = lambda c: F.transform(c, lambda x: F.get(book, x))
+    part = lambda c: F.when(F.size(c) <= PART, _fold(book, tokens(c))).otherwise(_fold_all(book, tokens(c)))
+    long_ = _let(codes, lambda c: F.flatten(F.transform(_cut(book, c), part)))
+    return F.when(F.octet_length(word) <= SHORT, _let(tokens(codes), lambda t: _fold(book, t))).otherwise(long_)
+
+
+class WordMap:
+    """A literal map of words to their ids: a word lies at one of two places by hash; of too many that meet, the most frequent stay and the others are left out."""
+
+    SLOTS = 1 << 16
+
+    def __init__(self, rows: list):
+        words, lists = [""] * self.SLOTS, [None] * self.SLOTS
+        for r in sorted(rows, key=lambda r: (-r.n, r.word)):
+            for at in (r.h & (self.SLOTS - 1), r.h >> 16 & (self.SLOTS - 1)):
+                if lists[at] is None:
+                    words[at], lists[at] = r.word, r.ids
+                    break
+        self.words = F.from_json(F.lit(json.dumps(words, ensure_ascii=False)), "array<string>")
+        self.lists = F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "array<array<int>>")
+
+    @staticmethod
+    def hashed(word: Column) -> Column:
+        return F.hash(word)
+
+    def bound(self, body) -> Column:
+        """body(ids), where ids(word) is null for a word that isn't in the map; the literals stand once, whatever body does with it."""
+
+        def ids(words: Column, lists: Column, word: Column) -> Column:
+            first = self.hashed(word).bitwiseAND(F.lit(self.SLOTS - 1))
+            second = F.shiftrightunsigned(self.hashed(word), 16)
+            return F.when(F.get(words, first) == word, F.get(lists, first)).when(F.get(words, second) == word, F.get(lists, second))
+
+        return _let(self.words, lambda w: _let(self.lists, lambda i: body(lambda word: ids(w, i, word))))
 
 
 def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def dictionary(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(word, n, ids): every distinct word of the corpus, how often it occurs, and its ids. Written once."""
+def hot_words(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> WordMap:
+    """The map of the most frequent words of the corpus; the driver gets at most `hot` rows."""
     words = documents.select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = F.when(F.octet_length("word") <= SHORT, encode_word(F.col("word"), folder)).otherwise(encode_long_word(F.col("word"), folder))
-    return materialize(words.repartition(n).select("word", "n", ids.alias("ids")), "dictionary")
+    words = materialize(words.filter("word <> ''"), "words")
+    ids = with_rank_map(lambda book: encode_word(book, F.col("word")), folder)
+    return WordMap(frequent(words, hot).select("word", "n", WordMap.hashed(F.col("word")).alias("h"), ids.alias("ids")).collect())
+
+
+def encoded(text: Column, known: WordMap, folder: str = TOKENIZERS) -> Column:
+    """The ids of a text; none for a null one."""
+    words = split_words(F.coalesce(text, F.lit("")))
+    return with_rank_map(lambda book: known.bound(lambda ids: F.flatten(F.transform(words, lambda w: F.coalesce(ids(w), encode_word(book, w))))), folder)
 
 
 def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> DataFrame:
     """(doc_id, ids): the ids of each text, without special tokens. An empty or null text has an empty list.
 
-    doc_id is taken as unique; repeated rows of one doc_id give repeated rows. Other columns are ignored.
+    Each row is encoded by itself: repeated rows of one doc_id give repeated rows. Other columns are ignored.
     """
-    book = dictionary(documents, folder)
-    known = WordMap(frequent(book, hot).select("n", "word", "ids", F.xxhash64("word").alias("h")).collect())
-
-    # words, their hashes, their ids where the map has them
-    w = split_words(F.coalesce("text", F.lit("")))
-    cut = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), w.alias("w"))
-    cut = cut.select("*", F.transform(F.transform("w", lambda x: F.xxhash64(x)), known.ids).alias("i"))
-    # a rest word stands as minus its place among the text's rest words
-    marked = cut.select("*", F.array_distinct(F.filter("w", lambda _, k: F.get("i", k).isNull())).alias("rest"))
-    filled = F.flatten(F.transform("i", lambda x, k: F.coalesce(x, F.array((-F.array_position("rest", F.get("w", k))).cast("int")))))
-    marked = materialize(marked.select("doc_id", "_k", filled.alias("ids"), "rest"), "marked")
-    whole = marked.filter(F.size("rest") == 0).select("doc_id", "ids")
-    open_ = marked.filter(F.size("rest") > 0)
-    need = open_.select("_k", F.posexplode("rest").alias("at", "word")).distinct()
-    met = need.join(book.select("word", F.col("ids").alias("w")).hint("merge"), "word").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("ws"))
-    full = F.flatten(F.transform("ids", lambda x: F.when(x < 0, F.get("ws", -x - 1)["w"]).otherwise(F.array(x))))
-    return whole.unionByName(open_.join(met, "_k").select("doc_id", full.alias("ids")))
+    return documents.select("doc_id", encoded(F.col("text"), hot_words(documents, folder, hot), folder).alias("ids"))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, tokens): how many ids each text has; 0 for an empty or null text. Words are counted, no list is put together.
-
-    The words of a text, each with its number, meet the sizes of the dictionary; the sizes of the HOT most frequent words, a
-    fixed number, are broadcast, so that the rest has no hot key.
-    """
-    book = dictionary(documents, folder).select("word", "n", F.size("ids").alias("size"))
-    hot = frequent(book, HOT).select("word", F.col("size").alias("s"))
-    each = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word")).join(F.broadcast(hot), "word", "left")
-    # one row for the hot words of a text, one for each rest word
-    part = each.groupBy("doc_id", F.when(F.col("s").isNull(), F.col("word")).alias("word")).agg(F.sum("s").alias("s"), F.count("*").alias("times"))
-    part = materialize(part, "part")
-    done = part.filter("word is null").select("doc_id", F.col("s").alias("tokens"))
-    rest = part.filter("word is not null").join(book.select("word", "size").hint("merge"), "word").select("doc_id", (F.col("size") * F.col("times")).alias("tokens"))
-    zero = documents.select("doc_id", F.lit(0).cast("long").alias("tokens"))
-    return done.unionByName(rest).unionByName(zero).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+    """(doc_id, tokens): how many ids each text has; 0 for an empty or null text. One row per row of documents."""
+    return encode(documents, folder).select("doc_id", F.size("ids").cast("long").alias("tokens"))
 
 
 def decode(encoded: DataFrame, folder: str = TOKENIZERS) -> DataFrame:

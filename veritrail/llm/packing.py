@@ -5,8 +5,8 @@
    boundaries so that the padding, the sum of boundary minus size, is least.
 3. Batches form inside each bucket: as many items as fit the token budget at the bucket's boundary. What a batch of a large
    bucket leaves is topped up with items of smaller buckets; this plan needs the counts of the buckets only.
-4. Items are numbered within their bucket, over SHARDS shards of it whose counts are summed up first, so that no bucket
-   meets in one task; an item's number gives its container by arithmetic.
+4. Items are numbered within their bucket, over shards of it whose counts are summed up first, so that no bucket
+   meets in one task; an item's number gives its container by arithmetic. The shards grow with the items, up to SHARDS.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from veritrail.session import materialize
 
-BUCKETS, SHARDS = 96, 64
+#: A shard of a bucket should hold at most SHARE items; BUCKETS x SHARDS counts are broadcast at most, some 9 MB.
+BUCKETS, SHARDS, SHARE = 96, 4096, 100_000
 
 
 def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -28,6 +29,32 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.col("tokens") - start, F.lit(capacity)).cast("int").alias("size"))
 
 
+def _layer(best: np.ndarray, sizes: np.ndarray, n: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each size j the least padding with one bucket more, and the size at which the bucket before the last ends.
+
+    That size never falls as j grows, so that a j only looks between the results of its neighbours among those done before, which are twice as far apart.
+    """
+    m = len(sizes)
+    at, new = np.full(m, k - 1), best.copy()
+    step = 1 << (m - 1).bit_length()
+    while step:
+        j = np.arange(step - 1, m, 2 * step)
+        j = j[j >= k]
+        if len(j):
+            lo = np.where(j >= step, at[np.maximum(j - step, 0)], k - 1)
+            hi = np.minimum(np.where(j + step < m, at[np.minimum(j + step, m - 1)], m - 1), j - 1)
+            many = hi - lo + 1
+            first = np.cumsum(many) - many
+            i = np.arange(many.sum()) - np.repeat(first - lo, many)
+            jj = np.repeat(j, many)
+            cost = best[i] + sizes[jj] * (n[jj + 1] - n[i + 1]) - (w[jj + 1] - w[i + 1])
+            least = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == np.repeat(least, many))
+            at[j], new[j] = i[hit[np.searchsorted(hit, first)]], least
+        step //= 2
+    return new, at
+
+
 def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """The upper ends of at most `buckets` buckets over these rising sizes with the least padding."""
     m = len(sizes)
@@ -37,18 +64,13 @@ def boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) ->
     best = sizes * n[1:] - w[1:]  # one bucket for the first j + 1 sizes
     cut = np.zeros((buckets, m), np.int64)
     for k in range(1, buckets):
-        new = best.copy()
-        for j in range(k, m):
-            i = np.arange(k - 1, j)  # the bucket before ends at size i
-            cost = best[i] + sizes[j] * (n[j + 1] - n[i + 1]) - (w[j + 1] - w[i + 1])
-            c = int(cost.argmin())
-            if cost[c] < new[j]:
-                new[j], cut[k, j] = cost[c], i[c] + 1
-        best = new
+        best, at = _layer(best, sizes, n, w, k)
+        cut[k] = at + 1
     ends, j, k = [], m - 1, buckets - 1
-    while j >= 0 and k >= 0:
+    while j >= 0:
         ends.append(int(sizes[j]))
-        j, k = int(cut[k, j]) - 1, k - 1
+        k = min(k, j)
+        j, k = (int(cut[k, j]) - 1, k - 1) if k else (-1, 0)
     return ends[::-1]
 
 
@@ -89,9 +111,11 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     ends = boundaries(size, n, buckets)
     of = np.searchsorted(ends, size)
     shares = plan(ends, np.bincount(of, n, len(ends)).astype(np.int64).tolist(), capacity)
-    bucket_of = F.get(F.array(*(F.lit(int(i)) for i in np.searchsorted(ends, np.arange(max(ends) + 1)))), F.col("size"))
-    full = items.filter("size > 0").withColumn("b", bucket_of).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int"))
-    held = full.groupBy("b", "shard").agg(F.count("*").alias("n"))  # at most BUCKETS x SHARDS rows
+    shards = int(min(SHARDS, max(16, n.sum() // SHARE)))
+    of_size = ",".join(map(str, np.searchsorted(ends, np.arange(max(ends) + 1)).tolist()))
+    bucket_of = F.get(F.split(F.lit(of_size), ",").cast("array<int>"), F.col("size"))
+    full = items.filter("size > 0").withColumn("b", bucket_of).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    held = full.groupBy("b", "shard").agg(F.count("*").alias("n"))  # at most BUCKETS x shards rows
     before = F.sum("n").over(Window.partitionBy("b").orderBy("shard")) - F.col("n")
     held = held.select("b", "shard", before.alias("before"))
     numbered = full.withColumn("r", F.row_number().over(Window.partitionBy("b", "shard").orderBy("doc_id", "piece")))
