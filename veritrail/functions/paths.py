@@ -107,20 +107,46 @@ def rewrite_path(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(text, quoted, F.regexp_replace(new, r"([\\$])", r"\\$1"))
 
 
-def prose_paths(text: Column, tops: tuple[str, ...] = ("home", "srv", "opt", "data")) -> Column:
-    """Distinct absolute paths below these folders in prose, without closing punctuation and line numbers."""
-    found = F.regexp_extract_all(text, F.lit(r"/(?:" + "|".join(tops) + r")/[^\s\"'`,;:()]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"[.]+$", "")))
+def prose_anchors(text: Column, tops: tuple[str, ...] = ("home", "srv", "opt", "data"), reach: int = 8) -> Column:
+    """array<struct<base, words>>: each path that prose names, in order of appearance, with the next `reach` words.
+
+    A path starts with ~/ or one of the top folders inside a word (words end at blanks and double quotes) and runs to the word's
+    end, without closing punctuation, brackets and the number of a line. `a.{b,c}` names a.b and a.c. Null text has none.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r'[ \t\r\n\f"]+'), lambda w: w != "")
+    raw = lambda w: F.regexp_extract(w, r"(?s)(?:~|/(?:" + "|".join(tops) + r"))/.*\z", 0)
+    clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"['.,;:)\]`]+\z", ""), r":[0-9]+\z", "")
+    pre, inner, post = (lambda p, i=i: F.regexp_extract(p, r"(?s)^([^{]*)\{([^}]*)\}?(.*)\z", i) for i in (1, 2, 3))
+    forms = lambda p: F.when(p.contains("{"), F.transform(F.split(inner(p), ","), lambda x: F.concat(pre(p), x, post(p)))).otherwise(F.array(p))
+    each = F.transform(words, lambda w, i: F.struct(clean(raw(w)).alias("p"), F.slice(words, i + 2, reach).alias("words")))
+    named = F.filter(each, lambda x: x["p"] != "")
+    return F.flatten(F.transform(named, lambda x: F.transform(forms(x["p"]), lambda p: F.struct(p.alias("base"), x["words"].alias("words")))))
+
+
+def home_relative(path: Column, home: str = r"/home/[^/]+") -> Column:
+    """The path below a home folder; a path elsewhere stays as it is."""
+    return F.regexp_replace(path, rf"^{home}/", "")
+
+
+def selftest_path(id_: Column) -> Column:
+    """The path inside a selftest id, `selftest:<path>:<what>`; null for other ids."""
+    return F.nullif(F.regexp_extract(id_, r"^selftest:(.*?)(?::[^:]*)?$", 1), F.lit(""))
+
+
+# Fixed value: what a quoted path in a hint looks like.
+QUOTED = r'"((?:/|~/)[^"\\]{1,4096})"'
+# Fixed value: quoted strings with a slash, or bare words that start with ~ or / and hold these characters only.
+COMMAND = r"""\"([^\"]*/[^\"]*)\"|'([^']*/[^']*)'|([~/][a-zA-Z0-9_\-./]+)"""
 
 
 def quoted_paths(raw: Column, home: str) -> Column:
     """Every quoted absolute or home path of 1 to 4096 characters in arbitrary text, expanded, in order, once each."""
-    found = F.regexp_extract_all(raw, F.lit(r'"((?:/|~/)[^"\\]{1,4096})"'), F.lit(1))
+    found = F.regexp_extract_all(raw, F.lit(QUOTED), F.lit(1))
     return F.array_distinct(F.transform(found, lambda p: expand_home(p, home)))
 
 
 def command_paths(command: Column, home: str) -> Column:
-    """Absolute paths in a shell command: quoted strings with a slash, or bare words that start with ~ or /."""
-    one = lambda i: F.regexp_extract_all(command, F.lit(r"""'([^']*/[^']*)'|"([^"]*/[^"]*)"|(?<![^\s=])([~/][^\s'"|;&<>]+)"""), F.lit(i))
+    """Absolute paths in a shell command, in order, once each; more than there are rather than fewer."""
+    one = lambda i: F.regexp_extract_all(command, F.lit(COMMAND), F.lit(i))
     merged = F.transform(F.arrays_zip(one(1).alias("a"), one(2).alias("b"), one(3).alias("c")), lambda x: F.concat(x["a"], x["b"], x["c"]))
     return F.array_distinct(F.filter(F.transform(merged, lambda p: expand_home(p, home)), lambda p: p.startswith("/")))

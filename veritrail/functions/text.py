@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,31 @@ STOP_WORDS = (
     "her", "him", "his", "our", "their", "them", "who", "whom", "which",
     "what", "when", "where", "why", "how", "into", "than", "then", "they",
 )
+# What a query token is, and the verdicts by rank.
 TOKEN = r"[a-zA-Z0-9_\-\./]{3,}"
-#: Verdicts by rank.
 VERDICTS = {"STRONG": 0, "REBUILT": 0, "WEAK": 1, "STALE": 2, "REMOVED": 2, "NOPATH": 3}
 
 
+def _marked() -> tuple[str, str]:
+    """The characters that are an ASCII letter with marks, and these letters."""
+    pairs = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2130))
+    pairs = [(c, d[0]) for c, d in pairs if len(d) and d[0] < "\x80" and d[0].isalpha() and (len(d) > 1 or d != c) and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_MARKED = _marked()
+
+
+def plain(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.lower(F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *_MARKED))
+
+
+def terms(text: Column) -> Column:
+    """The tokens of a text for lexical search, in order and with repetitions; none for null."""
+    return F.regexp_extract_all(plain(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """The distinct tokens of three or more characters, without stop words."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
@@ -86,6 +108,16 @@ def seed_body(purpose: Column) -> Column:
     return F.when(plain != purpose, F.concat(purpose, F.lit(" "), plain)).otherwise(purpose)
 
 
+def render_body(kind: Column, path: Column, symbol: Column, label: Column, line: Column, language: Column) -> Column:
+    where = F.when(line.isNotNull() & (line != 0), F.concat(path, F.lit(":"), line.cast("string"))).otherwise(path)
+    return F.when(kind == "file", F.concat_ws(" — ", path, language)).otherwise(F.concat(F.coalesce(label, symbol), F.lit(" defined at "), where))
+
+
+def render_keywords(kind: Column, language: Column) -> Column:
+    """Keywords of a projected node, null ones left out."""
+    return F.when(kind == "file", F.array_compact(F.array(F.lit("index"), F.lit("file"), language))).otherwise(F.array(F.lit("index"), F.lit("symbol")))
+
+
 def render_title(kind: Column, path: Column, symbol: Column, label: Column, line: Column) -> Column:
     name = F.coalesce(label, symbol)
     where = F.when(line.isNotNull() & (line != 0), F.concat(path, F.lit(":"), line.cast("string"))).otherwise(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.functions import paths as P
+
 
 def collapse_hints(hints: DataFrame) -> DataFrame:
     """(path, enqueued_at, reason, generation): one row per hinted path with the last time, the first reason and the number of hints.
@@ -20,6 +22,26 @@ def queue_batch(queue: DataFrame, limit: int = 256) -> DataFrame:
     return queue.orderBy("enqueued_at", "path").limit(limit)
 
 
+def queue_depth(queue: DataFrame) -> DataFrame:
+    return queue.agg(F.count("*").alias("queued"))
+
+
+def bootstrap(disk: DataFrame, index: DataFrame, home: str | None = None, force: bool = False) -> DataFrame:
+    """Hints (path, reason) for a first scan: every path of disk that isn't skipped, if the index (path) is empty or the scan is forced; else none."""
+    want = disk.filter(~P.skipped(F.col("path"), home)).select("path", F.lit("scan").alias("reason"))
+    return want if force else want.join(F.broadcast(index.select(F.lit(1).alias("_i")).limit(1)), F.lit(True), "left_anti")
+
+
+def held(dirty: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, pending: DataFrame) -> DataFrame:
+    """(path, state, generation, nodes, edges, pending): what the index holds of each dirty path; distinct nodes, edges and dangling edges."""
+    one = lambda df, keys, name: df.join(dirty, "path", "left_semi").select("path", *keys).distinct().groupBy("path").agg(F.count("*").alias(name))
+    out = dirty.join(paths.groupBy("path").agg(F.max_by("state", "generation").alias("state"), F.max("generation").alias("generation")), "path", "left")
+    parts = ((nodes, ["node_id"], "nodes"), (edges, ["src", "dst", "relation"], "edges"), (pending, ["src", "dst_symbol", "relation"], "pending"))
+    for part in parts:
+        out = out.join(one(*part), "path", "left")
+    return out.na.fill(0, [p[2] for p in parts])
+
+
 def ranked_generations(paths: DataFrame) -> DataFrame:
     """paths with `age`: 1 for the row of the highest generation of a path, 2 for the one before, and so on."""
     return paths.withColumn("age", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("generation"))))
@@ -95,20 +117,45 @@ def replace_owned(existing: DataFrame, fresh: DataFrame, dirty: DataFrame, key:
     return existing.join(dirty.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def drift(journal: DataFrame, disk: DataFrame, deep: bool = False, untracked: bool = False) -> DataFrame:
+def drift(journal: DataFrame, disk: DataFrame, roots: dict[str, str] | None = None, cap: str | None = "graph", deep: bool = False, untracked: bool = False) -> DataFrame:
     """(path, why): how the index differs from disk; one path can give two rows.
 
-    missing, reappeared, and for paths present on both sides hash (deep) or mtime/size (shallow), and a changed depth unless its
-    capability was seen. Only paths of the journal are looked at, unless untracked ones are asked for.
+    missing and reappeared; for paths present on both sides mtime/size (shallow) or hash (deep; a file that can't be read, whose hash is null, is passed over);
+    and a depth that the machine's capability `cap` would raise by the rules `roots`, unless the row has seen this capability. A row without one is
+    flagged; a null depth counts as the lowest. Only paths of the journal are looked at, unless untracked ones are asked for.
     """
     both = _both(journal, disk, "full" if untracked else "left")
     j, d = F.col("p_state") == "present", F.coalesce(F.col("d_state") == "present", F.lit(False))
-    differ: Column = ~F.col("p_hash").eqNullSafe(F.col("d_hash")) if deep else ~(F.col("p_mtime_ms").eqNullSafe(F.col("d_mtime_ms")) & F.col("p_size").eqNullSafe(F.col("d_size")))
+    if deep:
+        differ = F.col("d_hash").isNotNull() & ~F.col("p_hash").eqNullSafe(F.col("d_hash"))
+    else:
+        differ = ~(F.col("p_mtime_ms").eqNullSafe(F.col("d_mtime_ms")) & F.col("p_size").eqNullSafe(F.col("d_size")))
+    both = both.withColumn("to", P.depth_for(F.col("path"), roots or {}, "max", cap or "file")["effective"])
+    seen = F.col("p_cap_max").eqNullSafe(F.lit(cap)) & F.col("p_cap_max").isNotNull()
+    raised = (P.rank_of(F.col("to")) > P.rank_of(F.coalesce("p_depth", F.lit("path")))) & ~seen
     whys = [
         F.when(F.col("p_state").isNull() & d, "untracked"),
         F.when(j & ~d, "missing"),
         F.when((F.col("p_state") == "absent") & d, "reappeared"),
         F.when(j & d & differ, "hash" if deep else "mtime/size"),
-        F.when(j & d & (F.col("p_depth") != F.col("d_depth")) & ~F.col("p_cap_max").eqNullSafe(F.col("d_cap_max")), F.concat(F.lit("depth "), "p_depth", F.lit(" -> "), "d_depth")),
+        F.when(j & d & raised, P.drift_label(F.coalesce("p_depth", F.lit("null")), F.col("to"))),
     ]
     return both.select("path", F.explode(F.array_compact(F.array(*whys))).alias("why"))
+
+
+def audit_hints(found: DataFrame, at: int) -> DataFrame:
+    """Drift (path, why) as hints (path, reason, at, seq): `audit:<why>`; a changed depth comes after what else a path has."""
+    return found.select("path", F.concat(F.lit("audit:"), "why").alias("reason"), F.lit(at).cast("bigint").alias("at"), F.startswith("why", F.lit("depth")).cast("bigint").alias("seq"))
+
+
+def drained(prior: DataFrame, disk: DataFrame, sink_ok: bool = True) -> DataFrame:
+    """(path, action) of a drained batch: what `actions` tells, and error, deferred or stale where the path couldn't be converged.
+
+    disk has, beside the columns of `actions`, `error` (not null where the content could not be read or parsed), `started` and `generation` (of the path when its
+    reading began and now). A path that can't be read is an error and its old row stays; a changed one is deferred while the sink is down; one that was hinted again meanwhile is stale and goes
+    back to the queue. Absent paths need no reading and no sink but can be stale.
+    """
+    known = actions(prior, disk)
+    late = ~F.col("started").eqNullSafe(F.col("generation"))
+    kind = F.when((F.col("state") == "present") & F.col("error").isNotNull(), "error").when(F.lit(not sink_ok) & F.col("action").isin("indexed", "updated"), "deferred").when(late & (F.col("action") != "unchanged"), "stale").otherwise(F.col("action"))
+    return known.join(disk.select("path", "state", "error", "started", "generation"), "path").select("path", kind.alias("action"))

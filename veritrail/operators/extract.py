@@ -6,7 +6,7 @@ import ast
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "path string, kind string, node_id string, symbol string, label string, line long, src string, dst string, relation string, error string"
@@ -57,11 +57,10 @@ def _file(path: str, content: bytes) -> list[dict]:
 def extract(files: DataFrame) -> DataFrame:
     """Node, edge and pending rows of files (path, content); content null or unparsable gives the file node, the latter with an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in SCHEMA.split(", ")])
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in _file(p, c or b"")]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.assign(line=out["line"].astype("Int64"))
+            rows = [r for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in _file(p, c or b"")]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)

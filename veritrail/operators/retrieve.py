@@ -6,67 +6,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.functions import paths as P
 from veritrail.functions import text as T
+from veritrail.operators.skew import hot_keys
+from veritrail.session import materialize
 
-#: BM25 parameters; contract of fused search: constant of the reciprocal ranks, and the gates' thresholds.
-K1, B, RRF, STRONG, WEAK = 1.2, 0.75, 60, 0.62, 0.42
+#: BM25 parameters; fixed values: the constant of the reciprocal ranks, and the thresholds of the gates.
+K1, B, RRF = 1.2, 0.75, 60
+STRONG, WEAK, LEX_STRONG, SEM_STRONG, MARGIN = 0.62, 0.42, 0.7, 0.75, 0.015
+CACHE_LEX, CACHE_VEC, CACHE_OVERLAP = 0.15, 0.75, 0.05
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents for each of a list of queries.
 
-    docs are (doc_id, text), queries (query_id, text). Scores are rounded to 6 decimals, ties go to the smaller doc_id.
-    Only occurrences of the queries' tokens leave the scan; the lengths are one long per document.
+    docs are (doc_id, text), queries (query_id, text); diacritics don't count. Scores are rounded to 6 decimals, ties go to the
+    smaller doc_id. Terms that no query has go no further than the scan's task; terms are counted by document before anything is shuffled. A term that
+    holds more than 1/512 of all counts meets a broadcast of its weight and of the queries that hold it only where these are few; see `_with_queries`.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(T.TOKEN), F.lit(0))
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = q.select("term").distinct()
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    q = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    d = docs.select("doc_id", T.terms(F.col("text")).alias("w"))
     n = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg"))
-    tf = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(F.broadcast(terms), "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tf.join(q.select("term").distinct(), "term", "left_semi"), "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).join(F.broadcast(q), "term")
+    asked = materialize(q.join(df, "term").crossJoin(F.broadcast(n)), "asked")
+    s = _with_queries(tf, asked)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     scored = s.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, k)
 
 
+def _with_queries(tf: DataFrame, asked: DataFrame, salts: int = 32) -> DataFrame:
+    """Postings with the queries of their term. The postings of hot terms are spread over salts, and their few query rows are repeated for each."""
+    hot = hot_keys(tf, ["term"]).withColumn("_hot", F.lit(True))  # fewer than 512
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    left = tf.join(F.broadcast(hot), "term", "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = asked.join(F.broadcast(hot), "term", "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, ["term", "_salt"])
+
+
 def top(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("score"), item)
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, parts: int) -> DataFrame:
-    """Blocks of at most `rows` vectors as (ids, data)."""
+def usable(vec: Column, dim: int) -> Column:
+    """Exactly dim finite values, not all zero."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.coalesce((F.size(vec) == dim) & F.forall(vec, finite) & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, parts: int, dim: int) -> DataFrame:
+    """Blocks of at most `rows` unit vectors as (ids, data)."""
+    kind = vectors.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 s = b.slice(i, rows)
-                x = np.array(s.column(1).to_pylist(), np.float64).reshape(s.num_rows, -1)
-                x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["ids", "data"])
+                x = s.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                x /= np.abs(x).max(axis=1, keepdims=True)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                ids = pa.ListArray.from_arrays(pa.array([0, s.num_rows], pa.int32()), s.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], ["ids", "data"])
 
-    ok = vectors.filter((F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))).select(F.col(ident).cast("bigint"), vec)
-    return ok.repartition(parts).mapInArrow(run, "ids array<long>, data binary")
+    return vectors.filter(usable(F.col(vec), dim)).select(ident, vec).repartition(parts).mapInArrow(run, f"ids array<{kind}>, data binary")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding", rows: int = 2048) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding", rows: int = 2048, dim: int = 64) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest vectors for each query vector, itself left out.
 
     A stated query set against all rows, in blocks: pairs of blocks meet, never pairs of rows, and each keeps its k best
-    (with ties) of a query. Cosines are rounded to 6 decimals, ties go to the smaller id. Null, empty and non-finite vectors take no part.
+    (with ties) of a query. Cosines are rounded to 6 decimals, ties go to the smaller id. Null, empty, all-zero and non-finite vectors and those
+    of another length take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qi, qd, di, dd in zip(*(b.column(c).to_pylist() for c in ("qi", "qd", "di", "dd")), strict=True):
-                q, d = np.frombuffer(qd).reshape(len(qi), -1), np.frombuffer(dd).reshape(len(di), -1)
-                qi, di = np.array(qi), np.array(di)
+            for r in range(b.num_rows):
+                qi, di = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("qi", "di"))
+                q, d = (np.frombuffer(b.column(c)[r].as_py()).reshape(-1, dim) for c in ("qd", "dd"))
                 s = np.round(q @ d.T, 6)
                 s[qi[:, None] == di[None]] = -2
                 at = min(k, s.shape[1]) - 1
@@ -74,10 +99,11 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "ve
                 i, j = np.nonzero((s >= kth[:, None]) & (s > -2))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(di[j]), pa.array(s[i, j])], ["query_id", "doc_id", "score"])
 
+    kind = vectors.schema[ident].dataType.simpleString()
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = _packed(queries, ident, vec, rows, max(1, n // 4)).select(F.col("ids").alias("qi"), F.col("data").alias("qd"))
-    b = _packed(vectors, ident, vec, rows, n).select(F.col("ids").alias("di"), F.col("data").alias("dd"))
-    return top(b.crossJoin(a).mapInArrow(run, "query_id long, doc_id long, score double"), k)
+    a = materialize(_packed(queries, ident, vec, rows, max(1, n // 4), dim).select(F.col("ids").alias("qi"), F.col("data").alias("qd")), "queries")
+    b = materialize(_packed(vectors, ident, vec, rows, n, dim).select(F.col("ids").alias("di"), F.col("data").alias("dd")), "blocks")
+    return top(b.crossJoin(a).mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double"), k)
 
 
 def fuse(*ranked: DataFrame, k: int = 12, constant: int = RRF) -> DataFrame:
@@ -88,45 +114,130 @@ def fuse(*ranked: DataFrame, k: int = 12, constant: int = RRF) -> DataFrame:
     return top(both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("score")), k)
 
 
-def gate(scores: DataFrame) -> DataFrame:
-    """The class of each query by its best score: strong, weak or miss."""
-    g = F.when(F.col("best") >= STRONG, "strong").when(F.col("best") >= WEAK, "weak").otherwise("miss")
-    return scores.groupBy("query_id").agg(F.max("score").alias("best")).select("query_id", "best", g.alias("class"))
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+    """(query_id, doc_id, score, rank, vec): lexical and vector ranking of one id space, fused; vec is the cosine, where it is among the k best, else null.
+
+    docs are (doc_id, text), vectors (doc_id, embedding), queries (query_id, text); a query's vector is that of the row of its id. The row itself is no hit, nor is a vector without a document.
+    """
+    words = bm25(docs, queries, k + 1).filter("doc_id <> query_id")
+    vectors = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    near = materialize(cosine(vectors, vectors.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi"), k, "doc_id"), "near")
+    return fuse(words, near, k=k).join(near.select("query_id", "doc_id", F.col("score").alias("vec")), ["query_id", "doc_id"], "left")
+
+
+def measured(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits with lex, the share of the query's tokens that the document holds, and fused, the mean of lex and vec (0 where it is null)."""
+    q = queries.select("query_id", T.tokens(F.col("text")).alias("_q"))
+    lex = T.coverage(F.col("_q"), F.col("text"))
+    both = hits.join(docs, "doc_id").join(q, "query_id").withColumn("lex", lex).drop("text", "_q")
+    return both.withColumn("fused", F.round((F.col("lex") + F.greatest(F.coalesce("vec", F.lit(0.0)), F.lit(0.0))) / 2, 6))
+
+
+def gate(measures: DataFrame, fused: bool = True) -> DataFrame:
+    """The class of each hit (query_id, doc_id, rank, lex, vec, fused): strong, weak or miss.
+
+    With the fused gate by the fused measure alone. Without it a hit is strong if it is among the lexically best of its query at a cosine of
+    LEX_STRONG, or if it is within MARGIN of the lexically best at a cosine of SEM_STRONG; weak if only one of both measures is that high.
+    """
+    if fused:
+        g = F.when(F.col("fused") >= STRONG, "strong").when(F.col("fused") >= WEAK, "weak").otherwise("miss")
+        return measures.withColumn("class", g)
+    best = F.max("lex").over(Window.partitionBy("query_id"))
+    vec = F.coalesce("vec", F.lit(0.0))
+    strong = ((F.col("lex") >= best) & (vec >= LEX_STRONG)) | ((F.col("lex") >= best - MARGIN) & (vec >= SEM_STRONG))
+    g = F.when(strong, "strong").when((F.col("lex") >= best) | (vec >= SEM_STRONG), "weak").otherwise("miss")
+    return measures.withColumn("class", g)
+
+
+def cache_gate(measures: DataFrame) -> DataFrame:
+    """The class of each hit if it were an answer kept for reuse: none below a lexical overlap of CACHE_OVERLAP, strong at CACHE_LEX and CACHE_VEC, weak at one of them."""
+    lex, vec = F.col("lex") >= CACHE_LEX, F.coalesce("vec", F.lit(0.0)) >= CACHE_VEC
+    g = F.when(F.col("lex") < CACHE_OVERLAP, "miss").when(lex & vec, "strong").when(lex | vec, "weak").otherwise("miss")
+    return measures.withColumn("class", g)
 
 
 def score_floor(hits: DataFrame, share: float = 0.3) -> DataFrame:
     """The hits of each query whose absolute score is at least a share of the largest."""
-    most = hits.groupBy("query_id").agg(F.max(F.abs("score")).alias("_m"))
-    return hits.join(F.broadcast(most), "query_id").filter(F.abs("score") >= share * F.col("_m")).drop("_m")
+    most = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
+    return hits.withColumn("_m", most).filter(F.abs("score") >= share * F.col("_m")).drop("_m")
+
+
+def in_scope(hits: DataFrame, scope: str | None) -> DataFrame:
+    """The hits whose title or body holds the scope, whatever the case; all of them without one."""
+    held = [F.coalesce(c, F.lit("")) for c in ("title", "body") if c in hits.columns]
+    return hits.filter(F.contains(F.lower(F.concat_ws(" ", *held)), F.lit(scope.lower()))) if scope else hits
 
 
 def drop_junk(hits: DataFrame, words: tuple[str, ...] = ("unclassified", "auto-sync")) -> DataFrame:
-    """Without junk titles, unless nothing else would be left."""
+    """Without junk titles, unless nothing else would be left of a query's hits."""
     junk = F.lit(False)
     for w in words:
         junk = junk | F.lower(F.coalesce("title", F.lit(""))).contains(w)
-    some = hits.agg(F.coalesce(F.max(~junk), F.lit(False)).alias("_some"))
-    return hits.crossJoin(F.broadcast(some)).filter(~junk | ~F.col("_some")).drop("_some")
+    some = F.max(~F.col("_junk")).over(Window.partitionBy("query_id"))
+    return hits.withColumn("_junk", junk).withColumn("_some", some).filter("not _junk or not _some").drop("_junk", "_some")
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
-    """One hit per path, or title where there is no path: the first that isn't an edit note, else the first. hits have ord."""
+    """One hit per query and path, or title where there is no path: the first that isn't an edit note, else the first. hits have ord."""
     key = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.col("title"))
-    w = Window.partitionBy(key).orderBy(F.lower(F.coalesce("title", F.lit(""))).contains("edited"), "ord")
+    w = Window.partitionBy("query_id", key).orderBy(F.lower(F.coalesce("title", F.lit(""))).contains("edited"), "ord")
     return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def verified_search(docs: DataFrame, query: str, n: int = 50, limit: int = 262144) -> DataFrame:
-    """(doc_id, verdict, cov_pct, rnk): documents that cover a query, each text once, with a verdict on how far they do.
+def with_detail(hits: DataFrame, notes: DataFrame, key: str = "id_hex") -> DataFrame:
+    """Hits with the columns of their notes; a column that the hits have is theirs, even where it is null."""
+    return hits.join(notes.select(key, *(c for c in notes.columns if c not in hits.columns)), key, "left")
+
+
+def anchors(texts: DataFrame, live: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, pos, path, alive): the paths that each text names, in order, each once, and whether they are live (path).
+
+    A path with blanks is found by joining up to 8 following words: the longest live form counts, else the word itself.
+    """
+    named = texts.select(*keys, F.posexplode(P.prose_anchors(text)).alias("pos", "a"))
+    wide = F.transform("a.words", lambda w, i: F.struct((i + 1).alias("k"), F.regexp_replace(F.concat_ws(" ", F.array(F.col("a.base")), F.slice("a.words", F.lit(1), i + 1)), "[.,;:]+$", "").alias("form")))
+    longer = named.select(*keys, "pos", F.inline(wide)).join(live.filter(F.contains("path", F.lit(" "))).select(F.col("path").alias("form")), "form", "left_semi")
+    longer = longer.groupBy(*keys, "pos").agg(F.max_by("form", "k").alias("form"))
+    best = named.join(longer, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("form", "a.base").alias("path"))
+    one = best.groupBy(*keys, "path").agg(F.min("pos").alias("pos"))
+    return one.join(live.select("path", F.lit(True).alias("alive")), "path", "left").select(*keys, "pos", "path", F.coalesce("alive", F.lit(False)).alias("alive"))
+
+
+def content_cover(hits: DataFrame, contents: DataFrame, limit: int = 262144) -> DataFrame:
+    """(query_id, id_hex, content): how far the text at a hit's path covers the query's tokens; no row where it can't be read.
+
+    hits are (query_id, id_hex, path, tokens), contents (path, text) with a row for each line of a file, which may be many: they are met line by line.
+    A file over the limit, with a NUL, or a query without tokens counts as unreadable.
+    """
+    met = contents.join(hits.select("query_id", "id_hex", "path", "tokens"), "path")
+    line = met.select("query_id", "id_hex", F.size("tokens").alias("n"), F.octet_length("text").alias("size"), F.contains("text", F.lit("\u0000")).alias("nul"), F.posexplode("tokens").alias("at", "t"), "text")
+    each = line.groupBy("query_id", "id_hex", "n", "at").agg(F.max(F.contains(F.lower("text"), F.col("t"))).alias("has"), F.sum("size").alias("size"), F.max("nul").alias("nul"))
+    return each.groupBy("query_id", "id_hex", "n").agg(F.count_if("has").alias("c"), F.max("size").alias("size"), F.max("nul").alias("nul")).filter((F.col("size") <= limit) & ~F.col("nul")).select("query_id", "id_hex", (F.col("c") / F.col("n")).alias("content"))
+
+
+def verified_search(hits: DataFrame, notes: DataFrame, queries: DataFrame, live: DataFrame, contents: DataFrame, n: int = 6, scope: str | None = None) -> DataFrame:
+    """(query_id, rnk, id_hex, verdict, path, title, score, cov_pct, content_pct): the n best hits of each query with a verdict on each.
 
-    docs are (doc_id, text). Null, overlong and binary texts don't count as readable; texts without a hit are dropped.
-    Of equal texts the smallest doc_id stands.
+    hits are (query_id, id_hex, title, body, score), notes (id_hex, ...), queries (query_id, text), live (path), contents (path, text). In this order:
+    scope, junk titles, score floor, the max(2n, 8) best candidates, their notes, the paths they name, liveness, verdict, one hit per path, the n best by
+    score and then verdict. STRONG and WEAK have a live path and cover half the query or less than that, by the path's content where it can be read, else
+    by title and body; STALE names dead paths only, NOPATH none. Nothing is written: healing stale notes is `stale.outcomes`. n of 0 or less gives no row.
     """
-    q = [t for t in dict.fromkeys(query.lower().split()) if len(t) >= 3 and t not in T.STOP_WORDS]
-    cov = T.content_score(F.array(*map(F.lit, q)), F.col("text"), limit)
-    scored = docs.select("doc_id", F.sha2("text", 256).alias("h"), cov.alias("cov")).filter("cov > 0")
-    one = scored.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("cov").alias("cov"))
-    best = one.orderBy(F.desc("cov"), "doc_id").limit(n)
-    v = T.verdict(F.lit(True), F.lit(True), F.col("cov"))
-    rank = F.row_number().over(Window.orderBy(F.desc("cov"), "doc_id")).cast("bigint")  # over n rows
-    return best.select("doc_id", v.alias("verdict"), T.percent(F.col("cov")).alias("cov_pct"), rank.alias("rnk"))
+    n = max(0, n)
+    kept = score_floor(drop_junk(in_scope(hits, scope)))
+    few = top(kept, max(2 * n, 8), item="id_hex").withColumnRenamed("rank", "ord")
+    q = queries.select("query_id", T.tokens(F.col("text")).alias("tokens"))
+    few = materialize(with_detail(few, notes).join(q, "query_id"), "candidates")
+    named = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("title"))
+    found = anchors(few.filter("not startswith(id_hex, 'selftest:')"), live, ["query_id", "id_hex"], named)
+    own = few.select("query_id", "id_hex", F.lit(0).alias("pos"), P.selftest_path(F.col("id_hex")).alias("path")).filter("path is not null")
+    found = found.unionByName(own.join(live.select("path", F.lit(True).alias("alive")), "path", "left").select("query_id", "id_hex", "pos", "path", F.coalesce("alive", F.lit(False)).alias("alive")))
+    best = found.groupBy("query_id", "id_hex").agg(F.min_by("path", F.struct(~F.col("alive"), F.col("pos"))).alias("path"), F.max("alive").alias("alive"))
+    met = few.join(best, ["query_id", "id_hex"], "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+    content = content_cover(met.filter("alive"), contents)
+    cov = T.coverage(F.col("tokens"), F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
+    met = met.join(content, ["query_id", "id_hex"], "left").withColumn("cov", cov)
+    met = met.withColumn("verdict", T.verdict(F.col("alive"), F.col("path").isNotNull(), F.coalesce("content", "cov")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), T.verdict_rank(F.col("verdict")), "ord")
+    out = dedup_hits(met).withColumn("rnk", F.row_number().over(order).cast("bigint")).filter(F.col("rnk") <= n)
+    return out.select("query_id", "rnk", "id_hex", "verdict", "path", "title", "score", T.percent(F.col("cov")).alias("cov_pct"), T.percent(F.col("content")).alias("content_pct"))

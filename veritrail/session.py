@@ -26,14 +26,32 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one of our own where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, for what is written between steps; it is removed when the session ends."""
+    path = f"{shared_dir(spark)}/veritrail-{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _MADE.add(path)
+    return path
+
+
+_MADE: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -41,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and the columns stay prunable.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritrail-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,6 +26,24 @@ def hint_stream(spark: SparkSession, folder: str, files: int = 256) -> DataFrame
     return _good(spark.readStream.schema(HINT).option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files).json(folder))
 
 
+def append_hints(hints: DataFrame, folder: str) -> None:
+    """Add hints (path, reason, at) to a folder that `hints` and `hint_stream` read: new files, no lock."""
+    hints.select("path", "reason", "at").write.mode("append").json(folder)
+
+
+def session_files(spark: SparkSession, folder: str, modified_after: str | None = None) -> DataFrame:
+    """(session_file, line_no, raw) of the logs of a folder, of all or those modified after an ISO time. Line numbers are in order within a file, not dense."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    lines = (r.option("modifiedAfter", modified_after) if modified_after else r).text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("session_file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+
+
+def append_telemetry(rows: DataFrame, folder: str) -> None:
+    """Add rows with the columns of TELEMETRY to a log that `telemetry` reads."""
+    names = [c.split()[0] for c in TELEMETRY]
+    rows.select(F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)).alias("value")).write.mode("append").text(folder)
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, purpose, keywords) of a tab-separated inventory; blank lines and lines from # are left out."""
     raw = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))

@@ -1,91 +1,61 @@
-"""Versioned snapshots of the journal tables: every commit writes new folders, and one pointer makes them current.
+"""Snapshots of the index tables in buckets of paths: a batch writes the buckets it touches anew, and one row makes it visible.
 
-<root>/<table>/v=<n>/ holds parquet, <root>/CURRENT names the version of each table, the checkpoint and the batch that
-made it. The pointer is replaced in one step, so that readers see a whole commit or none; folders that no pointer names are
-ignored. The pointer needs a file system with an atomic rename that the driver can reach.
+<root>/<table>/bucket=<b>/batch=<n>/ holds parquet, <root>/commits the numbers of the finished batches. A reader takes of each bucket the
+last batch that is finished, so that it sees whole batches only; what a broken attempt left under its number is overwritten when the batch is replayed.
+Batches come from one streaming query, whose checkpoint hands out the numbers; everything is read and written by Spark.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-from contextlib import contextmanager
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+TABLES = {
+    "paths": "path string, hash string, size long, mtime_ms long, depth string, cap_max string, generation long, state string, reconciled_at long",
+    "nodes": "path string, node_id string, kind string, symbol string, label string, line long, sink_id string",
+    "edges": "path string, src string, dst string, relation string, line long",
+    "pending": "path string, src string, dst_symbol string, relation string, line long",
+    "actions": "path string, action string",
+}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-
-    def current(self) -> dict:
-        try:
-            with open(f"{self.root}/CURRENT", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"version": 0, "tables": {}, "checkpoint": None, "batch": None}
-
-    def read(self, table: str, schema: str | None = None) -> DataFrame:
-        """The current snapshot; an empty table where there is none yet."""
-        at = self.current()["tables"].get(table)
-        if at is None:
-            return self.spark.createDataFrame([], schema)
-        r = self.spark.read
-        return (r.schema(schema) if schema else r).parquet(f"{self.root}/{table}/v={at}")
-
-    def commit(self, tables: dict[str, DataFrame], checkpoint: str | None = None, batch: int | None = None) -> int:
-        """Write all tables, then flip the pointer once; tables that aren't given stay as they are."""
-        now = self.current()
-        version = now["version"] + 1
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def bucket(self, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def committed(self) -> int:
+        """The number of the last finished batch, -1 before the first."""
+        at = f"{self.root}/commits"
+        return self.spark.read.schema("batch long").parquet(at).agg(F.max("batch")).first()[0] if self._there(at) else -1
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The current rows of a table, of all or some buckets."""
+        schema, at = TABLES[table], f"{self.root}/{table}"
+        empty = self.spark.createDataFrame([], schema)
+        if not self._there(at):
+            return empty
+        every = self.spark.read.schema(f"{schema}, bucket int, batch long").parquet(at)
+        last = every.filter(F.col("batch") <= self.committed())
+        if buckets is not None:
+            last = last.filter(F.col("bucket").isin(*buckets))
+        here = last.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # at most a row for each bucket
+        if not here:
+            return empty
+        folders = [f"{at}/bucket={r.bucket}/batch={r.batch}" for r in here]
+        return self.spark.read.schema(schema).parquet(*folders).filter("path is not null")
+
+    def commit(self, tables: dict[str, DataFrame], touched: list[int], batch: int) -> None:
+        """Write the touched buckets of the tables, whole, and make them visible together. An empty bucket keeps a row without a path."""
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        new = {"version": version, "tables": now["tables"] | dict.fromkeys(tables, version), "checkpoint": checkpoint, "batch": batch}
-        with open(f"{self.root}/CURRENT.{os.getpid()}", "w", encoding="utf-8") as f:
-            json.dump(new, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f.name, f"{self.root}/CURRENT")
-        return version
-
-    def seen(self, checkpoint: str, batch: int) -> bool:
-        """Whether this batch of this stream is the last one committed; batch numbers of other checkpoints don't count."""
-        now = self.current()
-        return now["checkpoint"] == checkpoint and now["batch"] is not None and now["batch"] >= batch
-
-    @contextmanager
-    def lock(self):
-        """One writer at a time; a lock that a dead process left is taken over. Yields None if another one writes."""
-        path = f"{self.root}/LOCK"
-        mine = f"{path}.{uuid.uuid4().hex}"
-        with open(mine, "w", encoding="utf-8") as f:
-            f.write(str(os.getpid()))
-        held = False
-        try:
-            for _ in range(2):
-                try:
-                    os.link(mine, path)  # the owner's number is in it from the start
-                    held = True
-                    break
-                except FileExistsError:
-                    if _alive(path):
-                        break
-                    os.replace(path, f"{path}.dead.{os.getpid()}")
-                    os.unlink(f"{path}.dead.{os.getpid()}")
-            yield self if held else None
-        finally:
-            os.unlink(mine)
-            if held:
-                os.unlink(path)
-
-
-def _alive(path: str) -> bool:
-    try:
-        with open(path, encoding="utf-8") as f:
-            os.kill(int(f.read()), 0)
-        return True
-    except (FileNotFoundError, ValueError, ProcessLookupError):
-        return False
-    except PermissionError:
-        return True
+            mark = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
+            rows = df.withColumn("bucket", self.bucket(F.col("path"))).unionByName(mark, allowMissingColumns=True).withColumn("batch", F.lit(batch).cast("bigint"))
+            rows = rows.repartition("bucket").select(*(c.split()[0] for c in TABLES[name].split(", ")), "bucket", "batch")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.root}/{name}")
+        self.spark.range(1).select(F.lit(batch).cast("bigint").alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
