@@ -64,5 +64,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Remove the folders that a pattern names, such as what a broken attempt left behind."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(at) or []:
+        fs.delete(found.getPath(), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
