@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.operators.skew import HOT_SHARE, skewed_lookup
-from veritrail.session import materialize, shared_dir
+from veritrail.session import exists, materialize, remove, work_dir
 
 _WORD = r"[\p{L}\p{N}_.\-]+"
 #: A field: an optional list dash, a name of up to three words, and the first colon or equals sign.
@@ -46,83 +46,100 @@ def canonical_body(body: Column) -> Column:
     return F.coalesce(fields, F.concat(F.lit("T\u0001"), bare(body)))
 
 
-def canonical_keys(nodes: DataFrame, buckets: int = 16) -> DataFrame:
-    """(id_hex, bucket, key, created_at), one row per row of nodes: equal keys are copies.
+def canonical_keys(nodes: DataFrame) -> DataFrame:
+    """(id_hex, key, created_at), one row per row of nodes: equal keys are copies.
 
     A null title or body counts as an empty one; rows without an id are left out, extra columns ignored.
     """
     body = F.coalesce("body", F.lit(""))
     key = F.unhex(F.md5(F.concat(bare(F.coalesce("title", F.lit(""))), F.lit("\u0000"), canonical_body(body)).cast("binary")))
-    rows = nodes.filter("id is not null").select(F.lower(F.hex("id")).alias("id_hex"), key.alias("key"), "created_at")
-    return rows.select("id_hex", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "created_at")
+    return nodes.filter("id is not null").select(F.lower(F.hex("id")).alias("id_hex"), key.alias("key"), "created_at")
 
 
 class Ledger:
-    """Counts of copies by canonical key, kept by bucket in the shared folder.
+    """Counts of copies by canonical key, kept by bucket in a shared folder; a ledger opened there again goes on where the last one ended.
 
-    Two tables: `counts` (bucket, key, copies, rep_hex, first_seen) and `members` (bucket, key, id_hex, first_seen). A batch touches only
-    its own buckets: their counts are full-outer-joined with the batch's and written anew, the other buckets stay where
-    they are. `current` names the folders each bucket is in; it has one entry per bucket, whatever the data.
+    <root>/counts/bucket=<b>/batch=<n>/ holds (key, copies, rep_hex, earliest_hex, first_seen), <root>/members/... (key, id_hex, first_seen), <root>/commits
+    (batch, buckets) the finished batches. A batch touches only its own buckets: their counts are full-outer-joined with the batch's and written anew, the other
+    buckets stay where they are; members are only added. What counts of a bucket is its last finished batch; what a broken attempt left is removed
+    by the next one. The number of buckets follows the first batch, one for each SHARE rows, and stays; one writer at a time.
     """
 
-    COUNTS = "key binary, copies long, rep_hex string, first_seen long, bucket int"
-    MEMBERS = "key binary, id_hex string, first_seen long, bucket int"
+    COUNTS = "key binary, copies long, rep_hex string, earliest_hex string, first_seen long"
+    MEMBERS = "key binary, id_hex string, first_seen long"
+    SHARE, FEWEST, MOST = 500_000, 16, 4096
 
-    def __init__(self, spark, root: str | None = None):
-        self.spark, self.root, self.version = spark, root or f"{shared_dir(spark)}/veritrail-ledger-{uuid.uuid4().hex[:12]}", 0
-        self.current: dict[int, str] = {}
-        self.delivered: dict[int, list[str]] = {}
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or f"{work_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}"
+        self.batch, self.buckets = -1, 0
+        if exists(spark, f"{self.root}/commits"):
+            last = self._rows("commits", "batch long, buckets int").agg(F.max("batch").alias("batch"), F.max("buckets").alias("buckets")).first()
+            self.batch, self.buckets = last.batch, last.buckets
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _rows(self, table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}") if exists(self.spark, f"{self.root}/{table}") else self.spark.createDataFrame([], schema)
+
+    def _finished(self, table: str, schema: str) -> DataFrame:
+        return self._rows(table, f"{schema}, bucket int, batch long").filter(F.col("batch") <= self.batch)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
     def counts(self, buckets: list[int] | None = None) -> DataFrame:
-        at = [p for b, p in self.current.items() if buckets is None or b in buckets]
-        return self._rebucket(at, self.COUNTS)
+        """(key, copies, rep_hex, earliest_hex, first_seen): rep_hex is the smallest id, earliest_hex that of the earliest copy."""
+        every = self._finished("counts", self.COUNTS)
+        if buckets is not None:
+            every = every.filter(F.col("bucket").isin(buckets))
+        last = every.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # at most a row for each bucket
+        if not last:
+            return self.spark.createDataFrame([], self.COUNTS)
+        return self.spark.read.schema(self.COUNTS).parquet(*(f"{self.root}/counts/bucket={r.bucket}/batch={r.batch}" for r in last))
 
     def members(self, buckets: list[int] | None = None) -> DataFrame:
-        at = [p for b, ps in self.delivered.items() if buckets is None or b in buckets for p in ps]
-        return self._rebucket(at, self.MEMBERS)
+        """(key, id_hex, first_seen), one row for each id that was counted."""
+        every = self._finished("members", self.MEMBERS)
+        return (every if buckets is None else every.filter(F.col("bucket").isin(buckets))).drop("bucket", "batch")
 
-    def _rebucket(self, paths: list[str], schema: str) -> DataFrame:
-        df = self._read(paths, schema.rpartition(", bucket int")[0])
-        return df.withColumn("bucket", F.regexp_extract(F.col("_metadata.file_path"), r"bucket=(\d+)", 1).cast("int")) if paths else df.withColumn("bucket", F.lit(0))
+    def _write(self, df: DataFrame, table: str, batch: int) -> None:
+        rows = df.withColumn("bucket", self.bucket()).withColumn("batch", F.lit(batch).cast("bigint"))
+        remove(self.spark, f"{self.root}/{table}/bucket=*/batch={batch}")
+        # a bucket with a hot key is written by several tasks
+        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.root}/{table}")
 
     def add(self, batch: DataFrame) -> None:
         """Take in one batch of canonical keys. Ids that were counted before, in this batch or an earlier one, count once."""
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        self.version += 1
-        v = f"{self.root}/v={self.version}"
-        fresh = batch.groupBy("bucket", "key", "id_hex").agg(F.min("created_at").alias("first_seen"))
-        if any(b in self.delivered for b in touched):
-            fresh = fresh.join(self.members(touched), ["bucket", "key", "id_hex"], "left_anti")
-        fresh.repartition("bucket", F.pmod(F.xxhash64("id_hex"), F.lit(4))).write.partitionBy("bucket").parquet(f"{v}/members")
-        new = self._rebucket([f"{v}/members"], self.MEMBERS)
+        number = self.batch + 1
+        if not self.buckets:
+            self.buckets = min(self.MOST, max(self.FEWEST, batch.count() // self.SHARE))
+        fresh = batch.groupBy("key", "id_hex").agg(F.min("created_at").alias("first_seen"))
+        if number:
+            touched = [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]
+            fresh = fresh.join(self.members(touched), ["key", "id_hex"], "left_anti")
+        self._write(fresh, "members", number)
+        new = self._rows("members", f"{self.MEMBERS}, bucket int, batch long").filter(F.col("batch") == number)
         touched = [r[0] for r in new.select("bucket").distinct().collect()]  # without buckets that got nothing new
-        if not touched:
-            return
-        new = new.groupBy("bucket", "key").agg(F.count("*").alias("n"), F.min("id_hex").alias("r"), F.min("first_seen").alias("f"))
-        if any(b in self.current for b in touched):
-            old = self.counts(touched)
-            new = old.join(new, ["bucket", "key"], "full_outer").select(
-                "bucket", "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("rep_hex", "r").alias("rep_hex"), F.least("first_seen", "f").alias("first_seen")
-            )
-        else:
-            new = new.select("bucket", "key", F.col("n").alias("copies"), F.col("r").alias("rep_hex"), F.col("f").alias("first_seen"))
-        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{v}/counts")
-        for b in touched:
-            self.current[b] = f"{v}/counts/bucket={b}"
-            self.delivered.setdefault(b, []).append(f"{v}/members/bucket={b}")
-
-
-def ledger_of(nodes: DataFrame, batches: int = 3) -> Ledger:
+        if touched:
+            first = F.struct(F.coalesce("first_seen", F.lit(-(2**62))).alias("at"), "id_hex")
+            new = new.groupBy("key").agg(F.count("*").alias("n"), F.min("id_hex").alias("r"), F.min(first).alias("e"), F.min("first_seen").alias("f"))
+            if number:
+                old = self.counts(touched)
+                earlier = F.least(F.when(F.col("earliest_hex").isNotNull(), F.struct(F.coalesce("first_seen", F.lit(-(2**62))).alias("at"), F.col("earliest_hex").alias("id_hex"))), F.col("e"))
+                new = old.join(new, "key", "full_outer").select(
+                    "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("rep_hex", "r").alias("rep_hex"), earlier["id_hex"].alias("earliest_hex"), F.least("first_seen", "f").alias("first_seen")
+                )
+            else:
+                new = new.select("key", F.col("n").alias("copies"), F.col("r").alias("rep_hex"), F.col("e.id_hex").alias("earliest_hex"), F.col("f").alias("first_seen"))
+            self._write(new, "counts", number)
+        self.spark.createDataFrame([(number, self.buckets)], "batch long, buckets int").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self.batch = number
+
+
+def ledger_of(nodes: DataFrame, batches: int = 3, root: str | None = None) -> Ledger:
     """The ledger of a whole table, taken in by as many batches in order of created_at (rows without one come first)."""
     keys = materialize(canonical_keys(nodes), "keys")
     at = F.coalesce("created_at", F.lit(-(2**62)))
     cuts = keys.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    book = Ledger(nodes.sparkSession)
+    book = Ledger(nodes.sparkSession, root)
     bounds = [None, *sorted(set(cuts or [])), None]
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = keys

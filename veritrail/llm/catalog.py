@@ -28,8 +28,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record after collapsing: the smallest id, the number of copies, and when it was first seen."""
-    return canonical.ledger_of(table(spark, sf_dir, "nodes")).counts().select("rep_hex", "copies", "first_seen")
+    """One row per record after collapsing: the smallest and the earliest id, the number of copies, and when it was first seen."""
+    return canonical.ledger_of(table(spark, sf_dir, "nodes")).counts().select("rep_hex", "earliest_hex", "copies", "first_seen")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

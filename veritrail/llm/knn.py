@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veritrail.operators.skew import skewed_lookup
 from veritrail.session import materialize
 
-DIM, TREES, BLOCK, K, REVERSE, ROUNDS, SETTLED = 64, 4, 1024, 14, 12, 5, 0.005
+DIM, TREES, BLOCK, K, REVERSE, ROUNDS, SETTLED = 64, 8, 1024, 14, 12, 4, 0.01
 #: Edges of a smaller cosine don't enter the graph of nearest_pairs: they lead no neighbour of 0.85 to another. That of search has no such floor.
 FLOOR = 0.6
 
@@ -104,10 +104,10 @@ def _lists(ids: np.ndarray, u: np.ndarray, v: np.ndarray, s: np.ndarray, home: i
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([home] * len(ids), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entries)], schema=_SCHEMA)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows (tree, u, vec) sorted by (tree, code) to lists; the first tree gives each u its home block."""
     part, seq = TaskContext.get().partitionId(), 0
-    half = BLOCK // 2
+    half = size // 2
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def block(t: int, ids: np.ndarray, x: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
@@ -147,8 +147,8 @@ def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iterator
                 tree, old, ids, x = int(t), 0, uid[at], mat[at]
             else:
                 ids, x = np.concatenate([ids, uid[at]]), np.concatenate([x, mat[at]])
-            while len(ids) > BLOCK + half:
-                yield from block(tree, ids[:BLOCK], x[:BLOCK], old)
+            while len(ids) > size + half:
+                yield from block(tree, ids[:size], x[:size], old)
                 seq += 1
                 ids, x, old = ids[half:], x[half:], half
     if len(ids) > old:
@@ -216,13 +216,18 @@ def _local_join(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iter
     yield from run()
 
 
+def _reverse(graph: DataFrame) -> DataFrame:
+    """(v, u, f): each entry turned round, at most REVERSE for a v, new ones first."""
+    flat = graph.select("u", F.inline("nbrs")).select("u", "v", "f")
+    pick = Window.partitionBy("v").orderBy(F.desc("f"), F.xxhash64("u", "v"), "u")
+    return flat.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= REVERSE).drop("r")
+
+
 def _round(graph: DataFrame, vectors: DataFrame, floor: float = FLOOR) -> DataFrame:
     flat = graph.select("u", "home", F.inline("nbrs"))
     forward = flat.select(F.col("u").alias("w"), F.col("home").alias("b"), F.col("v").alias("m"), "f")
-    pick = Window.partitionBy("v").orderBy(F.desc("f"), F.xxhash64("u", "v"), "u")
-    back = flat.select("u", "v", "f").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= REVERSE)
     homes = graph.select(F.col("u").alias("v"), "home")
-    back = back.join(homes, "v").select(F.col("v").alias("w"), F.col("home").alias("b"), F.col("u").alias("m"), "f")
+    back = _reverse(graph).join(homes, "v").select(F.col("v").alias("w"), F.col("home").alias("b"), F.col("u").alias("m"), "f")
     each = forward.unionByName(back).groupBy("w", "b", "m").agg(F.max("f").alias("f"))
     centres = each.groupBy("w", "b").agg(F.collect_list(F.struct("m", "f")).alias("ms")).filter(F.exists("ms", lambda e: e["f"]) & (F.size("ms") > 1))
     centres = materialize(centres.select("b", "ms"), "centres")
@@ -236,11 +241,11 @@ def _round(graph: DataFrame, vectors: DataFrame, floor: float = FLOOR) -> DataFr
     return _merged(known.unionByName(found))
 
 
-def nn_descent(vectors: DataFrame, rounds: int = ROUNDS, trees: int = TREES, floor: float = FLOOR) -> DataFrame:
+def nn_descent(vectors: DataFrame, rounds: int = ROUNDS, trees: int = TREES, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
     """(u, home, nbrs): the neighbour graph over vectors (u, vec), which must be distinct; nbrs are (s, v, f) by falling cosine s, of floor or more."""
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planted = vectors.mapInArrow(_planted(trees), "tree int, code long, u long, vec binary")
-    leaves = planted.repartitionByRange(n * 2, "tree", "code").sortWithinPartitions("tree", "code", "u").mapInArrow(partial(_leaves, floor=floor), LISTS)
+    leaves = planted.repartitionByRange(n * 2, "tree", "code").sortWithinPartitions("tree", "code", "u").mapInArrow(partial(_leaves, floor=floor, size=block), LISTS)
     graph = materialize(_merged(leaves), "graph")
     for _ in range(rounds):
         graph = materialize(_round(graph, vectors, floor), "graph")
@@ -280,16 +285,16 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(s)], ["q", "v", "s"])
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 24, step: int = 3) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 64, step: int = 16) -> DataFrame:
     """(q, v, s): about the k nearest vectors of each query (q, qvec), by greedy search on the graph.
 
     A query enters at the vectors beside its own place in the order of the first TREES trees, then, round after round, opens the `step` best
     vectors it has not opened, scores their neighbours, and keeps the `beam` best; it ends when nothing is left to open, as what is
-    opened stays so and what fell out of the beam can't come back. Bounded lists only; vectors are (u, vec).
+    opened stays so and what fell out of the beam can't come back. Edges are followed both ways. Bounded lists only; vectors are (u, vec).
     """
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = vectors.select("u", "vec", F.lit(None).cast("string").alias("q")).unionByName(queries.select(F.lit(None).cast("long").alias("u"), F.col("qvec").alias("vec"), "q"))
-    planted = both.mapInArrow(_planted(TREES), "tree int, code long, u long, vec binary, q string")
+    planted = both.mapInArrow(_planted(TREES), "tree int, code long, u long, vec binary, q string").drop("vec")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, waiting = [], []  # the last vectors, and queries that still look ahead
@@ -311,13 +316,15 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     score = lambda c: c.join(queries, "q").join(vectors.withColumnRenamed("u", "v"), "v").select("q", "qvec", "v", "vec").mapInArrow(_scored, "q string, v long, s double")
     entry = lambda c, opened: c.select("q", F.struct("s", "v", F.lit(opened).alias("open")).alias("e"))
     keep = lambda c: c.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, beam).alias("best"))
+    both = graph.select("u", F.explode("nbrs.v").alias("v")).unionByName(_reverse(graph).select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = materialize(both.groupBy("u").agg(F.collect_set("v").alias("vs")), "links")  # at most K + REVERSE each
     state = materialize(keep(entry(score(seeds), True)), "beam")
     while True:
         opening = state.select("q", F.slice(F.filter("best", lambda e: e["open"]), 1, step).alias("now"), F.transform("best", lambda e: e["v"]).alias("seen"))
         opening = opening.filter(F.size("now") > 0)
         if opening.isEmpty():
             break
-        next_ = opening.select("q", "seen", F.explode("now.v").alias("u")).join(graph, "u").select("q", "seen", F.explode("nbrs.v").alias("v"))
+        next_ = opening.select("q", "seen", F.explode("now.v").alias("u")).join(links, "u").select("q", "seen", F.explode("vs").alias("v"))
         fresh = score(next_.filter(~F.array_contains("seen", F.col("v"))).select("q", "v").distinct())
         rank = F.transform(F.filter("best", lambda e: e["open"]), lambda e: e["v"])
         closed = F.transform("best", lambda e: F.struct(e["s"].alias("s"), e["v"].alias("v"), (e["open"] & ~F.array_contains(F.slice(rank, 1, step), e["v"])).alias("open")))
@@ -329,11 +336,12 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
 def search(node_vec: DataFrame, k: int = 10) -> DataFrame:
     """(id_hex, other_hex, cosine): the k nearest other ids of every usable vector whose id is divisible by 20, by greedy graph search against all.
 
-    There is no lowest cosine. Copies of a direction are ids of their own; ties go to the smaller hex id.
+    There is no lowest cosine, so that the graph keeps the best edges of every vector, and starts from more trees than that of nearest_pairs, as in data without
+    close neighbours the leaves find more than the descent. Copies of a direction are ids of their own; ties go to the smaller hex id.
     """
     rows = materialize(members(node_vec), "vectors")
     vectors = materialize(rows.groupBy("u").agg(F.min_by("vec", "id_hex").alias("vec")), "directions")
-    graph = nn_descent(vectors, floor=-1.0)
+    graph = nn_descent(vectors, rounds=2, trees=12, floor=-1.0)
     ask = rows.filter(F.conv("id_hex", 16, 10).cast("decimal(20,0)") % 20 == 0).select(F.col("id_hex").alias("q"), F.col("vec").alias("qvec"), F.col("u").alias("own"))
     ask = materialize(ask, "queries")
     each = ask.groupBy("own").agg(F.min("q").alias("q"), F.min_by("qvec", "q").alias("qvec"))  # copies ask once
