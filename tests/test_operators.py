@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import paths as P
 from veritrail.functions import text as T
-from veritrail.operators import converge, edges, orphans, retrieve, sessions, stale
+from veritrail.operators import components, converge, edges, orphans, retrieve, sessions, stale
 from veritrail.operators.components import connected_components
 from veritrail.operators.extract import extract
 from veritrail.operators.skew import skewed_lookup
@@ -55,6 +55,38 @@ def test_lookup_with_a_hot_key(spark):
     assert values(got.select("id", "v")) == values(left.join(right, "k", "left").select("id", "v"))
 
 
+def test_blocks_of_a_session_give_the_same(spark):
+    r = random.Random(6)
+    calls = spark.createDataFrame([(i % 3, i, r.choice(["grep", "grep", "grep", "other", "reset"])) for i in range(300)], "session int, seq int, class string")
+    whole = values(sessions.guard(calls).select("seq", "chain", "warn"))
+    for size in (1, 7, 50):
+        assert values(sessions.guard(calls, F.floor(F.col("seq") / size)).select("seq", "chain", "warn")) == whole
+    lines = spark.createDataFrame([("f", i, r.choice([None, None, None, f"d{i}"])) for i in range(200)] + [("g", 5, None)], "session_file string, line_no int, cwd string")
+    whole = values(sessions.carried(lines, "cwd"))
+    for block in (1, 9, 64):
+        assert values(sessions.carried(lines, "cwd", block)) == whole
+
+
+def test_stars_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "STAR", 20)
+    links = [(0, i) for i in range(1, 150)] + [(500, i) for i in range(100, 220)] + [(900, 901)]
+    got = values(connected_components(spark.createDataFrame(links, "a long, b long")))
+    assert got == {(i, 0) for i in [*range(220), 500]} | {(900, 900), (901, 900)}
+
+
+def test_medians(spark):
+    r = random.Random(4)
+    rows = [("a", r.choice([1.0, 2.0, 1e9])) for _ in range(101)] + [("b", float(i)) for i in range(10)] + [("c", 5.0)] * 4 + [("d", None), ("e", -3.0), (None, 7.0)] + [("f", r.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {}
+    for g in "abcef":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        want[g] = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    got = {r.g: r.median for r in sessions.median_by(df, "g", "x", 16).collect() if r.g is not None}
+    assert got == pytest.approx(want)
+    assert sessions.median_by(df.limit(0), "g", "x").count() == 0
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
@@ -292,7 +324,8 @@ def test_file_tree_and_extraction(spark, tmp_path):
     (tmp_path / "pkg" / "mod.py").write_text("def alpha():\n    beta()\n\nclass Gamma:\n    def m(self):\n        alpha()\n")
     (tmp_path / "pkg" / "bad.py").write_text("def (")
     files.register(spark)
-    load = lambda mode: spark.read.format("tree").option("roots", str(tmp_path)).option("mode", mode).load()
+    load = lambda mode, parts=64: spark.read.format("tree").option("roots", str(tmp_path)).option("mode", mode).option("parts", parts).load()
+    assert values(load("stat")) == values(load("stat", 1)) and load("stat").rdd.getNumPartitions() > load("stat", 1).rdd.getNumPartitions()
     assert {r.path.rsplit("/", 1)[1]: r.size for r in load("stat").collect()} == {"__init__.py": 0, ".dot": 1, "mod.py": 71, "bad.py": 5}
     rows = extract(load("bytes")).collect()
     mod = [r for r in rows if r.path.endswith("mod.py")]

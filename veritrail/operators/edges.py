@@ -47,7 +47,7 @@ def beam_walk(edges: DataFrame, starts: DataFrame, depth: int = 2, beam: int = 6
 
     A node's weight in a hop is the number of different edges that lead to it from the last beam; ties go to the smaller id. edges are (src, dst, relation).
     """
-    e = edges.select("src", "dst", "relation").distinct()
+    e = materialize(edges.select("src", "dst", "relation").distinct(), "edges")  # so that a hot node lies right under the join, where it can be split
     front = starts.select("start", F.col("start").alias("node"))
     seen, out = front, None
     for hop in range(1, depth + 1):

@@ -1,9 +1,9 @@
 """References to records that do not exist: missing, deleted or late parents, per table and day.
 
 References and parent keys are both reduced to one row per key, co-partitioned on (kind, key), sorted, and merged
-linearly: the sort-merge join. A parent row carries its validity interval; comparing the reference's
-first day with it tells missing (no parent row at all), deleted (only rows whose path is gone, or a deleted record) and
-late (valid, but from a later day).
+linearly: the sort-merge join. A parent row carries its validity interval (valid_from, valid_to); comparing the reference's
+first day with it tells missing (no parent row at all), deleted (the interval has ended: only rows whose path is gone, or a deleted
+record) and late (the interval begins on a later day).
 
 Hot keys go the way of `skew.skewed_lookup`: fewer than 512 keys can hold more than 1/512 of the references each, so that
 their parents fit a broadcast; all other keys go through the sort-merge join.
@@ -18,6 +18,10 @@ from veritrail.operators.skew import skewed_lookup
 from veritrail.session import materialize
 
 
+#: The end of an interval that ended on an unknown day.
+EVER = "0000-00-00"
+
+
 def _day(ts: str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
@@ -39,19 +43,28 @@ def references(owned_edges: DataFrame, pending_edges: DataFrame, owned_nodes: Da
 
 
 def parents(owned_nodes: DataFrame, paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tbl, key, valid_from): one row per key that exists or existed; valid_from is null when only deleted rows are left.
+    """(tbl, key, valid_from, valid_to): one row per key that exists or existed, with the days from and to which it is valid; valid_to is null while it exists.
 
-    The current row of a path is the one of the highest generation; a path without a row counts as gone.
+    A key exists while one of its rows does (a live one without a day never became available and counts as deleted): then valid_from is the earliest day of those. reconciled_at of paths and last_access of nodes are optional. Of a key that is gone, valid_from is its earliest day and valid_to the last
+    day on which one of its paths was seen to be absent, or its record was used last; EVER where that is unknown. The current row of a path is the one of the highest generation; a path without a row counts as gone.
     """
-    current = paths.groupBy("path").agg(F.max_by("state", "generation").alias("state")).filter("state = 'present'").select(F.col("path").alias("_p"))
+    optional = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("bigint")
+    paths = paths.select("path", "state", "generation", optional(paths, "reconciled_at").alias("reconciled_at"))
+    current = paths.groupBy("path").agg(F.max_by(F.struct("state", "reconciled_at"), "generation").alias("_r")).select(F.col("path").alias("_p"), "_r.state", F.timestamp_millis("_r.reconciled_at").alias("seen"))
     # one row per (node, symbol, path) before the join, so that redelivered rows don't travel
     rows = owned_nodes.groupBy("path", "node_id", "symbol").agg(F.min("committed_at").alias("at"))
-    rows = rows.join(current, rows.path == current._p, "left").withColumn("at", F.when(F.col("_p").isNotNull(), F.col("at")))
-    keys = rows.select(F.inline(F.array(F.struct(F.lit("owned_edges").alias("tbl"), F.col("node_id").alias("key"), "at"), F.struct(F.lit("pending_edges").alias("tbl"), F.col("symbol").alias("key"), "at"))))
-    own = keys.filter("key is not null").groupBy("tbl", "key").agg(_day(F.min("at")).alias("valid_from"))
-    live = F.when(F.col("state") == 0, F.col("created_at"))
-    sink = nodes.filter("id is not null").groupBy(F.lower(F.hex("id")).alias("key")).agg(_day(F.timestamp_seconds(F.min(live))).alias("valid_from"))
-    return own.unionByName(sink.select(F.lit("owned_nodes").alias("tbl"), "key", "valid_from"))
+    here = F.coalesce(F.col("state") == "present", F.lit(False))
+    rows = rows.join(current, rows.path == current._p, "left").withColumn("here", here)
+    one = lambda tbl, c: F.struct(F.lit(tbl).alias("tbl"), F.col(c).alias("key"), F.col("at").cast("timestamp").alias("at"), F.col("here"), F.col("seen"))
+    keys = rows.select(F.inline(F.array(one("owned_edges", "node_id"), one("pending_edges", "symbol")))).filter("key is not null")
+    sink = nodes.filter("id is not null").select(
+        F.lit("owned_nodes").alias("tbl"), F.lower(F.hex("id")).alias("key"), F.timestamp_seconds("created_at").alias("at"), (F.col("state") == 0).alias("here"), F.timestamp_seconds(F.greatest(F.col("created_at"), optional(nodes, "last_access"))).alias("seen")
+    )
+    every = keys.unionByName(sink).groupBy("tbl", "key").agg(
+        F.min(F.when(F.col("here"), F.col("at"))).alias("live"), F.coalesce(F.max("here"), F.lit(False)).alias("here"), F.min("at").alias("first"), F.max("seen").alias("last")
+    )
+    ended = F.when(~F.col("here"), F.coalesce(_day("last"), F.lit(EVER)))
+    return every.select("tbl", "key", F.when(F.col("here"), _day("live")).otherwise(_day("first")).alias("valid_from"), ended.alias("valid_to"))
 
 
 def orphans(owned_edges: DataFrame, pending_edges: DataFrame, owned_nodes: DataFrame, paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,9 +74,9 @@ def orphans(owned_edges: DataFrame, pending_edges: DataFrame, owned_nodes: DataF
     without a period cannot be late: it is an orphan only when its parent is missing or deleted.
     """
     refs = materialize(references(owned_edges, pending_edges, owned_nodes), "refs")
-    par = parents(owned_nodes, paths, nodes).select("tbl", F.col("key").alias("target"), "valid_from", F.lit(True).alias("known"))
+    par = parents(owned_nodes, paths, nodes).select("tbl", F.col("key").alias("target"), "valid_from", "valid_to", F.lit(True).alias("known"))
     met = skewed_lookup(refs, par, ["tbl", "target"])
-    status = F.when(F.col("known").isNull(), "missing").when(F.col("valid_from").isNull(), "deleted").when(F.col("valid_from") > F.col("period"), "late")
+    status = F.when(F.col("known").isNull(), "missing").when(F.col("valid_to").isNotNull() | F.col("valid_from").isNull(), "deleted").when(F.col("valid_from") > F.col("period"), "late")
     return met.select("tbl", "period", "path", "src", "target", "relation", status.alias("status")).filter("status is not null")
 
 

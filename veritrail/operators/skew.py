@@ -33,16 +33,18 @@ def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 
 
 def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
-    """The rows of the largest counts, at most `most` of them, whatever the number of rows.
+    """The rows of the largest counts, about `most` of them at most, whatever the number of rows.
 
     Cut at a sixteenth of an octave, found from a histogram of at most 1,008 rows; so that no task sends more than its
-    share of the result to the driver, and rows of one count stay together.
+    share of the result to the driver. Of the step that would exceed `most` a part is taken by a hash of the rows, as otherwise even counts would give nothing.
     """
     step = F.floor(F.log2(n) * 16)
-    held, cut = 0, 0
+    held, cut, share = 0, 0, 1.0
     for r in sorted(counts.filter(F.col(n) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
-        held += r["rows"]
-        if held > most:
-            cut = r["step"] + 1
+        if held + r["rows"] > most:
+            cut, share = r["step"], (most - held) / r["rows"]
             break
-    return counts.filter((F.col(n) > 0) & (step >= cut))
+        held += r["rows"]
+    plain = [c for c, t in counts.dtypes if not t.startswith("map")]
+    part = F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) < int(share * (1 << 20))
+    return counts.filter((F.col(n) > 0) & ((step > cut) | ((step == cut) & part)))

@@ -489,17 +489,17 @@ def usage_count(spark, sf_dir):
 def _calls(spark, sf_dir):
     (e,) = _t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("click", "view"), "grep").when(F.col("event_type") == "signup", "reset").otherwise("other")
-    return e.select(F.col("user_id").alias("session"), F.struct(_millis("ts").alias("at"), "event_id").alias("seq"), "event_id", kind.alias("class"))
+    return e.select(F.col("user_id").alias("session"), F.struct(_millis("ts").alias("at"), "event_id").alias("seq"), "event_id", kind.alias("class"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 @query
 def guard_chain(spark, sf_dir):
-    return sessions.guard(_calls(spark, sf_dir)).select("session", "event_id", "chain", "warn")
+    return sessions.guard(_calls(spark, sf_dir), F.col("day")).select("session", "event_id", "chain", "warn")
 
 
 @query
 def guard_warnings(spark, sf_dir):
-    return sessions.guard(_calls(spark, sf_dir)).groupBy("session").agg(F.count_if("warn").alias("warnings"), F.max("chain").alias("longest"))
+    return sessions.guard(_calls(spark, sf_dir), F.col("day")).groupBy("session").agg(F.count_if("warn").alias("warnings"), F.max("chain").alias("longest"))
 
 
 @query
@@ -533,7 +533,8 @@ def hit_rate(spark, sf_dir):
 @query
 def p50_values(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.count("value").alias("n"))
+    n = e.groupBy("event_type").agg(F.count("value").alias("n"))
+    return n.join(sessions.median_by(e, "event_type", "value"), "event_type", "left").select("event_type", F.round("median", 6).alias("p50"), "n")
 
 
 @query
