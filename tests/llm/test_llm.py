@@ -186,6 +186,26 @@ def test_partners_among_many_rivals_of_one_template(spark, monkeypatch):
         assert len(got) >= 39  # each is missed by the bands with a probability of 0.007 at most
 
 
+def test_a_long_bucket_is_met_in_parts(spark, monkeypatch):
+    """Alike records far apart in the order of a bucket that is longer than what a task meets at first: all groups come out."""
+    monkeypatch.setattr(neardup, "HOT", 64)  # so that the sample is all
+    monkeypatch.setattr(neardup, "BLOCK", 256)
+    r = random.Random(3)
+    core = [f"core{i}" for i in range(82)]  # 82 of 100 words: any two of different families below 0.7
+    rows, groups_, n = [], {}, 0
+    for fam in range(300):
+        own = [f"f{fam}x{k}" for k in range(18)]
+        for _ in range(2):
+            w = core + own[:16] + [f"u{n}a", f"u{n}b"]
+            r.shuffle(w)
+            rows.append((n.to_bytes(8, "big"), "", " ".join(w)))
+            groups_.setdefault(fam, []).append(n.to_bytes(8, "big").hex())
+            n += 1
+    r.shuffle(rows)
+    got = pairs(neardup.near_duplicates(spark.createDataFrame(rows, "id binary, title string, body string")), "group_hex", "id_hex")
+    assert {(min(g), i) for g in groups_.values() for i in g} == got
+
+
 def test_a_set_signed_by_several_tasks_counts_once_in_a_bucket():
     import pyarrow as pa
 

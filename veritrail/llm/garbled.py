@@ -1,6 +1,6 @@
 """Text decoded with the wrong encoding: a hidden Markov model labels characters, labelled spans are inverted.
 
-States: clean, and one per encoding pair (written in, read as). A pair that reads single bytes as other single bytes
+States: clean, one per encoding pair (written in, read as), and one for characters that were lost and replaced. A pair that reads single bytes as other single bytes
 restores character by character; one that reads UTF-8 bytes as single characters restores whole sequences, and can only be
 entered and left at their ends. The emission of a state is the probability of the restored character after the restored
 one before it, under one bigram model of clean text; so that a span counts as garbled where its restoration reads like
@@ -43,7 +43,7 @@ LEAST, KNOWN = 12.0, 3
 #: The same for pairs within one script, whose restorations are words or nothing.
 LEAST_SAME = 5.0
 _CYRILLIC = ("cp1251", "koi8_r")
-_LOST = 0xFFFD
+_LOST, LOST = 0xFFFD, "lost"
 
 
 @lru_cache(maxsize=None)
@@ -77,18 +77,19 @@ def _plausible() -> np.ndarray:
 
 
 class Model:
-    """log P(b | a) of clean text."""
+    """log P(b | a) of clean text, from counts of pairs and of single characters; a pair that isn't kept is judged by the single ones."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, chars: np.ndarray | None = None, count: np.ndarray | None = None):
         key = a.astype(np.int64) << 21 | b
         order = np.argsort(key)
         self.key, self.n = key[order], n[order].astype(np.float64)
         self.key = np.append(self.key, np.int64(2**62))
         self.n = np.append(self.n, 0.0)
-        self.chars, at = np.unique(b, return_inverse=True)
-        count = np.bincount(at, n, len(self.chars)) if len(n) else np.zeros(0)
-        self.chars, self.count = np.append(self.chars, 2**30), np.append(count, 0.0)
-        self.total = max(1.0, float(n.sum()))
+        if chars is None:
+            chars, at = np.unique(b, return_inverse=True)
+            count = np.bincount(at, n, len(chars)) if len(n) else np.zeros(0)
+        self.chars, self.count = np.append(chars, 2**30), np.append(count, 0.0)
+        self.total = max(1.0, float(count.sum()))
 
     def alone(self, c: np.ndarray) -> np.ndarray:
         i = np.searchsorted(self.chars, c)
@@ -209,6 +210,9 @@ def label(tokens: list[str], model: Model) -> list[tuple[str, str, float]]:
         e = model(np.concatenate([[32], restored[:-1]]), restored)
         e[((cp > 127) & (byte < 0)) | lost | (latin if written in _CYRILLIC else False)] = FORBIDDEN
         names.append(f"{written}>{read}"), emit.append(e), rest.append(restored), parts.append(np.where((cp > 127) & (byte < 0), 3, 0))
+    gone_here = cp == _LOST
+    if gone_here.any():  # a state that gives nothing but lost characters
+        names.append(LOST), emit.append(np.where(gone_here, 0.0, FORBIDDEN)), rest.append(cp), parts.append(np.zeros(len(cp), int))
     E, P = np.stack(emit), np.stack(parts)
     inside = P == 2
     states = len(names)
@@ -256,7 +260,7 @@ def label(tokens: list[str], model: Model) -> list[tuple[str, str, float]]:
                 s = int(came[i, 0, r]) if s == 0 else (0 if came[i, s, r] else s)
             start = int(first[rows[r]])
             text = "".join(chr(rest[s][start + i]) for i, s in enumerate(path) if P[s, start + i] != 2)
-            if text != tokens[rows[r]]:
+            if text != tokens[rows[r]] or any(names[s] == LOST for s in path):
                 clean = float(E[0, start : start + n].sum())
                 out[rows[r]] = (text, ",".join(sorted({names[s] for s in path if s})), float(final[best[r], r]) - clean)
     return out
@@ -265,15 +269,15 @@ def label(tokens: list[str], model: Model) -> list[tuple[str, str, float]]:
 def restore(tokens: list[str], model: Model, rounds: int = 4) -> list[tuple[str, str, float]]:
     """label, and again on what changed; (restored, pairs of all rounds, outermost first, log odds of the first)."""
     done = label(tokens, model)
-    open_ = [i for i, (_, how, _) in enumerate(done) if how]
+    open_ = [i for i, (t, how, _) in enumerate(done) if how and t != tokens[i]]
     for _ in range(rounds - 1):
         if not open_:
             break
         again = label([done[i][0] for i in open_], model)
-        for i, (t, how, _) in zip(open_, again, strict=True):
-            if how:
-                done[i] = (t, f"{done[i][1]};{how}", done[i][2])
-        open_ = [i for i, (_, how, _) in zip(open_, again, strict=True) if how]
+        open_ = [(i, t, how) for i, (t, how, _) in zip(open_, again, strict=True) if how and t != done[i][0]]
+        for i, t, how in open_:
+            done[i] = (t, f"{done[i][1]};{how}", done[i][2])
+        open_ = [i for i, *_ in open_]
     return done
 
 
@@ -298,9 +302,10 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(tokens: DataFrame) -> Model:
-    """The bigram model over (token, n). The driver gets at most PAIRS rows."""
+    """The bigram model over (token, n). The driver gets at most PAIRS pairs, and each single character, of all pairs, once."""
     pairs = materialize(tokens.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
     rows = frequent(pairs, PAIRS).toPandas()
+    singles = pairs.groupBy((F.col("key") % (1 << 21)).alias("c")).agg(F.sum("n").alias("n")).orderBy("c").toPandas()
     key, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     a, b = key >> 21, key & (2**21 - 1)
     count = dict(zip(key.tolist(), n.tolist(), strict=True))
@@ -310,7 +315,9 @@ def fit(tokens: DataFrame) -> Model:
         turn = lambda c: np.where((c > 127) & (c < 0x10000) & (byte[np.minimum(c, 0xFFFF)] >= 128), high[byte[np.minimum(c, 0xFFFF)]], c)  # noqa: E731, B023
         other = (turn(a) << 21 | turn(b)).tolist()
         clean &= np.array([o == k or count.get(o, 0) * DIRT < m for o, k, m in zip(other, key.tolist(), n.tolist(), strict=True)], bool)
-    return Model(a[clean], b[clean], n[clean])
+    chars, left = singles["c"].to_numpy(np.int64), singles["n"].to_numpy(np.int64)
+    np.subtract.at(left, np.searchsorted(chars, b[~clean]), n[~clean])
+    return Model(a[clean], b[clean], n[clean], chars, left)
 
 
 def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +329,7 @@ def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ts = b.column("token").to_pylist()
-            rows = [(t, r, how or "lost", odds) for t, (r, how, odds) in zip(ts, restore(ts, model), strict=True) if how or "\ufffd" in t]
+            rows = [(t, r, how, odds) for t, (r, how, odds) in zip(ts, restore(ts, model), strict=True) if how]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.float64())], ["token", "restored", "pairs", "odds"])
 
@@ -343,7 +350,7 @@ def _cases(documents: DataFrame) -> DataFrame:
     names = F.split(F.substring_index("pairs", ";", 1), ",")
     one_byte = [f"{a}>{b}" for a, b in SINGLES]
     sure = F.filter(names, lambda x: ~x.isin(one_byte))
-    how = F.when(F.col("token").contains("\ufffd"), "lost").when(F.size(sure) > 0, sure[0]).otherwise(names[0])
+    how = F.when(F.array_contains(names, LOST), LOST).when(F.size(sure) > 0, sure[0]).otherwise(names[0])
     by = met.withColumn("how", how).groupBy("doc_id", "how").agg(F.sum("odds").alias("odds"), F.collect_list(F.struct("token", "restored")).alias("tokens"))
     single = F.col("how").isin(one_byte)
     same = F.col("how").isin("koi8_r>cp1251", "cp1251>koi8_r")

@@ -29,6 +29,9 @@ DIM, TREES, BLOCK, K, REVERSE, ROUNDS, SETTLED = 64, 8, 1024, 14, 12, 4, 0.01
 #: Edges of a smaller cosine don't enter the graph of nearest_pairs: they lead no neighbour of 0.85 to another. That of search has no such floor.
 FLOOR = 0.6
 
+#: Cosines are screened in single precision, this much below what counts, and then taken in double.
+SLACK = 1e-5
+
 LISTS = "u long, home long, nbrs array<struct<s:double,v:long,f:boolean>>"
 _NBR = pa.struct([("s", pa.float64()), ("v", pa.int64()), ("f", pa.bool_())])
 _SCHEMA = pa.schema([("u", pa.int64()), ("home", pa.int64()), ("nbrs", pa.list_(_NBR))])
@@ -104,6 +107,11 @@ def _lists(ids: np.ndarray, u: np.ndarray, v: np.ndarray, s: np.ndarray, home: i
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([home] * len(ids), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entries)], schema=_SCHEMA)
 
 
+def _cosines(x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows of a matrix of unit rows, in double, rounded to 9 decimals."""
+    return np.round(np.einsum("ij,ij->i", x[u], x[v]), 9) if len(u) else np.zeros(0)
+
+
 def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows (tree, u, vec) sorted by (tree, code) to lists; the first tree gives each u its home block."""
     part, seq = TaskContext.get().partitionId(), 0
@@ -112,15 +120,17 @@ def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR, size: int =
 
     def block(t: int, ids: np.ndarray, x: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
         """The first `old` rows were in the block before; pairs of two of them are done."""
-        s = np.round(x @ x.T, 9)
+        near = x.astype(np.float32)
+        s = near @ near.T
         np.fill_diagonal(s, -2)
         s[:old, :old] = -2
-        k = min(K, len(ids) - 1)
+        n, k = len(ids), min(K, len(ids) - 1)
         if k > 0:
-            v = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            u = np.repeat(np.arange(len(ids)), k)
-            v = v.ravel()
-            sim = s[u, v]
+            v = np.argpartition(s, n - k, axis=1)[:, n - k :].ravel()
+            u = np.repeat(np.arange(n), k)
+            ok = s[u, v] >= max(floor - SLACK, -1.5)
+            u, v = u[ok], v[ok]
+            sim = _cosines(x, u, v)
             ok = sim >= floor
             u, v, sim = _top(u[ok], v[ok], sim[ok], K)
         else:
@@ -174,6 +184,7 @@ def _local_join(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iter
         x, low = np.concatenate(vec), np.concatenate(kth)
         order = np.argsort(ids)
         ids, x, low = ids[order], x[order], low[order]
+        near, least = x.astype(np.float32), np.maximum(low, floor).astype(np.float32) - np.float32(SLACK)
         width = max(len(m) for m, _ in rows)
         found = []
         for c in range(0, len(rows), 256):
@@ -182,11 +193,15 @@ def _local_join(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iter
             there = np.zeros((len(part), width), bool)
             for i, (m, f) in enumerate(part):
                 at[i, : len(m)], new[i, : len(m)], there[i, : len(m)] = np.searchsorted(ids, m), f, True
-            s = np.matmul(x[at], x[at].transpose(0, 2, 1))
-            ok = (s >= floor) & (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & (s > low[at][:, :, None])
+            some = near[at]
+            s = np.matmul(some, some.transpose(0, 2, 1))
+            ok = (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & (s > least[at][:, :, None])
             ok &= ~np.eye(width, dtype=bool)
             r, i, j = np.nonzero(ok)
-            found.append((at[r, i], at[r, j], np.round(s[r, i, j], 9)))
+            u, v = at[r, i], at[r, j]
+            exact = _cosines(x, u, v)
+            keep = (exact >= floor) & (exact > low[u])
+            found.append((u[keep], v[keep], exact[keep]))
         u, v, s = (np.concatenate(p) for p in zip(*found, strict=True))
         ok = u != v
         u, v, s = _top(u[ok], v[ok], s[ok], K)

@@ -7,7 +7,8 @@
 3. Buckets are co-partitioned and sorted. Each member carries a 128-bit sketch (one bit of each of 128 more minima);
    two sets agree in (1 + s) / 2 of the bits, so fewer than 90 of 128 has a probability of 2e-6 at s = 0.7 and is dropped.
    First every member meets all the members of its bucket in the same block of BLOCK rows; of those that pass it keeps the LINKS most
-   alike before it. The blocks of a longer bucket are tied by their first members, which all the rows of the bucket meet.
+   alike before it. The blocks of a longer bucket are tied by their first members, which all the rows of the bucket meet; a bucket of more than HOT rows
+   is spread over tasks in parts, and counts as one in which pairs were left out.
 4. These links are verified with the words of both sets, and connected by large-star and small-star.
 5. The buckets in which step 3 left out a pair are finished exactly: their members meet block against block, each two blocks in
    a task of their own and with all words, except blocks that step 4 made one component. What is found joins the components.
@@ -31,6 +32,8 @@ BANDS, ROWS, SKETCH = 40, 6, 128
 AGREE = 90
 #: Links that a member keeps to earlier members of its bucket at first, and rows that are compared with each other at a time.
 LINKS, BLOCK = 8, 2048
+#: Rows of a bucket that are met in one task at first.
+HOT = 262_144
 
 
 def words(title: Column, body: Column) -> Column:
@@ -273,16 +276,40 @@ def _tile_links(threshold: float):
     return run
 
 
-def _signed_rows(sets: DataFrame) -> DataFrame:
-    signed = sets.select("set_id", "words").mapInArrow(signatures, "set_id long, low long, high long, bands array<long>")
+_SIGNED = "set_id long, low long, high long, bands array<long>"
+
+
+def _hot_buckets(sets: DataFrame, count: int) -> DataFrame | None:
+    """(key, parts): the bucket keys with about HOT rows or more and in how many parts they are met, found by the signatures of a sample of sets; fewer than
+    BANDS x count / HOT x 2. None where no bucket can be that long. The sample, 64 of HOT rows, only decides how the work is spread.
+    """
+    if count < HOT:
+        return None
+    share = 64 / HOT
+    some = sets.sample(share, 17).select("set_id", "words").mapInArrow(signatures, _SIGNED).dropDuplicates(["set_id"])
+    n = F.col("count") / F.lit(share)
+    return some.select(F.explode("bands").alias("key")).groupBy("key").count().filter(n >= HOT / 2).select("key", F.ceil(n / HOT * 2).cast("int").alias("parts"))
+
+
+def _signed_rows(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, set_id, low, high), co-partitioned and sorted by key; and the members (key, set_id) of the buckets that were met in parts, under a key for each part."""
+    signed = sets.select("set_id", "words").mapInArrow(signatures, _SIGNED)
     rows = signed.select(F.explode("bands").alias("key"), "set_id", "low", "high")
+    hot, members = _hot_buckets(sets, sets.count()), None
+    if hot is not None:
+        hot = materialize(hot, "hot")
+        marked = rows.join(F.broadcast(hot), "key", "left")
+        part = F.xxhash64("key", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+        rows = marked.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(part).alias("key"), "set_id", "low", "high")
+        members = marked.filter("parts is not null").select("key", "set_id")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "low", "high", "set_id")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "low", "high", "set_id"), members
 
 
 def first_links(sets: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(a, b) set ids of verified links: the words in common are at least `threshold` of the words in either; and the members (key, set_id) of the buckets in which pairs were left out."""
-    met = materialize(_signed_rows(sets).mapInArrow(bucket_links, "key long, a long, b long"), "pairs")
+    rows, parted = _signed_rows(sets)
+    met = materialize(rows.mapInArrow(bucket_links, "key long, a long, b long"), "pairs")
     pairs = met.filter("key is null").select("a", "b").distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     known = sets.select("set_id", "words").join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("words").alias("words"))
@@ -290,7 +317,8 @@ def first_links(sets: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, Dat
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("wa", "wb"))
     links = both.select("a", "b", common.alias("c"), (F.size("wa") + F.size("wb") - common).alias("u")).filter(F.col("c") >= F.col("u") * threshold - 1e-9).select("a", "b")
-    return links, met.filter("key is not null").select("key", F.col("a").alias("set_id")).distinct()
+    open_ = met.filter("key is not null").select("key", F.col("a").alias("set_id"))
+    return links, (open_ if parted is None else open_.unionByName(parted)).distinct()
 
 
 def left_out_links(sets: DataFrame, open_: DataFrame, part: DataFrame, threshold: float = 0.7) -> DataFrame | None:
