@@ -33,15 +33,16 @@ SINGLES = (
 )
 #: Written in; double bytes read as cp1252.
 DOUBLES = ("cp932",)
-ENTER, LEAVE, FORBIDDEN = -6.0, -2.0, -60.0
+#: Priors, stated rather than fitted: the share of the text that may be garbled, the characters that a garbled span has on average, and how sure a document of single-byte
+#: garbling must be. A pair of characters that is by the first share rarer than its restoration is no evidence of clean text.
+DIRT, SPAN, LEVEL = 0.05, 8, 0.999
 #: Pairs of characters that the model keeps, the most frequent ones; others are judged by the single characters.
 PAIRS = 100_000
-#: Share of the corpus that may be garbled one way; a pair of characters that is this much rarer than its restoration is no evidence of clean text.
-DIRT = 0.05
-#: Log odds that the tokens of single-byte pairs must reach together in a document; a token whose restoration is no token of KNOWN documents counts half.
-LEAST, KNOWN = 12.0, 3
-#: The same for pairs within one script, whose restorations are words or nothing.
-LEAST_SAME = 5.0
+#: What the priors say of the costs of entering and leaving a state, and of the log odds that the tokens of a single-byte pair must reach together in a document.
+ENTER = float(np.log(DIRT / (len(SEQUENCES) + len(SINGLES) + len(DOUBLES) + 1)))
+LEAVE = float(np.log(1 / SPAN))
+LEAST = float(np.log(LEVEL / (1 - LEVEL)) - np.log(DIRT / len(SINGLES) / (1 - DIRT / len(SINGLES))))
+FORBIDDEN = -60.0
 _CYRILLIC = ("cp1251", "koi8_r")
 _LOST, LOST = 0xFFFD, "lost"
 
@@ -321,7 +322,7 @@ def fit(tokens: DataFrame) -> Model:
 
 
 def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((token, restored, pairs, odds) of the garbled tokens, (doc_id, token) of all tokens)."""
+    """((token, restored, pairs, odds) of the garbled tokens, (doc_id, token) of all tokens). A token whose restoration the corpus holds nowhere counts half."""
     each = materialize(documents.filter("text is not null").select("doc_id", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token")), "each")
     tokens = materialize(each.groupBy("token").agg(F.count("*").alias("n")), "tokens")
     model = fit(tokens)
@@ -335,7 +336,7 @@ def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     spread = tokens.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("token")
     bad = materialize(spread.mapInArrow(run, "token string, restored string, pairs string, odds double"), "garbled")
-    known = tokens.filter(F.col("n") >= KNOWN).select(F.col("token").alias("restored"), F.lit(True).alias("known"))
+    known = tokens.select(F.col("token").alias("restored"), F.lit(True).alias("known"))
     bad = bad.join(known, "restored", "left").withColumn("odds", F.when(F.col("known"), F.col("odds")).otherwise(F.col("odds") / 2))
     return bad.select("token", "restored", "pairs", "odds"), each
 
@@ -353,8 +354,7 @@ def _cases(documents: DataFrame) -> DataFrame:
     how = F.when(F.array_contains(names, LOST), LOST).when(F.size(sure) > 0, sure[0]).otherwise(names[0])
     by = met.withColumn("how", how).groupBy("doc_id", "how").agg(F.sum("odds").alias("odds"), F.collect_list(F.struct("token", "restored")).alias("tokens"))
     single = F.col("how").isin(one_byte)
-    same = F.col("how").isin("koi8_r>cp1251", "cp1251>koi8_r")
-    return by.filter(~single | (F.col("odds") >= F.when(same, LEAST_SAME).otherwise(LEAST))).select("doc_id", "how", "tokens")
+    return by.filter(~single | (F.col("odds") >= LEAST)).select("doc_id", "how", "tokens")
 
 
 def found(documents: DataFrame) -> DataFrame:
