@@ -27,6 +27,7 @@ def one(spark, *columns):
 def test_path_functions(spark):
     r = one(spark, P.suffix(F.lit("/a/.b")), P.suffix(F.lit("/a/x.PY")), P.rank_of(F.lit("graph")), P.rank_of(F.lit("none")), P.expand_home(F.lit("~/x"), "/h"), P.line_of(F.lit("L12")), P.line_of(F.lit("x")))
     assert tuple(r) == ("", ".py", 3, -1, "/h/x", 12, None)
+    assert P.watch_roots({"~/a/**": "max", "/b/": "file", "/b/*/c": "file", "*": "path"}, "/h") == ["/h/a", "/b"]
     r = one(spark, P.rewrite_path(F.lit("see /a/b and /a/bc, /a/b/d"), F.lit("/a/b"), F.lit("/$1")))
     assert r[0] == "see /$1 and /a/bc, /$1/d"
     assert one(spark, P.quoted_paths(F.lit('{"a":"/x/y","b":"~/z","c":"no"}'), "/h"))[0] == ["/x/y", "/h/z"]
@@ -174,8 +175,10 @@ def test_converge_stream(spark, tmp_path):
     hints.mkdir()
     (hints / "1.json").write_text('{"path":"/a.py","reason":"x","at":1}\n{"path":"/a.py","reason":"y","at":2}\nnot json\n{"path":"rel","at":1}\n{"path":"/b.py","at":3}\n')
     disk = disk_of(spark, a="def f():\n    g()\n", b="def g():\n    pass\n")
-    q = start(logs.hint_stream(spark, str(hints)), store, disk, str(tmp_path / "cp"), once=True, again=str(hints))
+    full = spark.createDataFrame([("/a.py", 0, 1, "other")], "path string, size long, mtime_ms long, hash string")
+    q = start(logs.hint_stream(spark, str(hints)), store, disk, str(tmp_path / "cp"), once=True, again=str(hints), audit_every=0, full=lambda: full)
     assert q.awaitTermination(120)
+    assert {(r.path, r.reason) for r in logs.hints(spark, str(hints)).filter("startswith(reason, 'audit')").collect()} == {("/a.py", "audit:mtime/size"), ("/b.py", "audit:missing")}
     assert values(store.read("actions")) == {("/a.py", "indexed"), ("/b.py", "indexed")}
     assert values(store.read("paths").select("path", "generation", "state", "depth")) == {("/a.py", 2, "present", "graph"), ("/b.py", 1, "present", "graph")}
     before = snapshot(store)

@@ -107,6 +107,12 @@ def rewrite_path(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(text, quoted, F.regexp_replace(new, r"([\\$])", r"\\$1"))
 
 
+def watch_roots(roots: dict[str, str], home: str = "~") -> list[str]:
+    """The folders to watch for these root patterns: each one's literal beginning, home expanded, once each, in order."""
+    full = (home + p[1:] if p.startswith("~/") else p for p in roots)
+    return list(dict.fromkeys(x for x in (p.split("*")[0].rstrip("/") for p in full) if x))
+
+
 def prose_anchors(text: Column, tops: tuple[str, ...] = ("home", "srv", "opt", "data"), reach: int = 8) -> Column:
     """array<struct<base, words>>: each path that prose names, in order of appearance, with the next `reach` words.
 

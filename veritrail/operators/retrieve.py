@@ -19,19 +19,26 @@ K1, B, RRF = 1.2, 0.75, 60
 STRONG, WEAK, LEX_STRONG, SEM_STRONG, MARGIN = 0.62, 0.42, 0.7, 0.75, 0.015
 CACHE_LEX, CACHE_VEC, CACHE_OVERLAP = 0.15, 0.75, 0.05
 
+#: Different terms of all queries that are broadcast at most, some 5 MB.
+FEW = 100_000
+
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents for each of a list of queries.
 
     docs are (doc_id, text), queries (query_id, text); diacritics don't count. Scores are rounded to 6 decimals, ties go to the
-    smaller doc_id. Terms that no query has go no further than the scan's task; terms are counted by document before anything is shuffled. A term that
-    holds more than 1/512 of all counts meets a broadcast of its weight and of the queries that hold it only where these are few; see `_with_queries`.
+    smaller doc_id. Up to FEW different terms of the queries are broadcast, so that only their occurrences leave the scan; more are met by a shuffle of the counts by
+    document and term. Hot terms are spread over tasks; see `_with_queries`.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    terms = materialize(q.select("term").distinct(), "terms")
     d = docs.select("doc_id", T.terms(F.col("text")).alias("w"))
     n = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg"))
-    tf = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    tf = materialize(tf.join(q.select("term").distinct(), "term", "left_semi"), "tf")
+    words = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    count = lambda x: x.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    few = terms.count() <= FEW
+    tf = count(words.join(F.broadcast(terms), "term", "left_semi")) if few else count(words).join(terms, "term", "left_semi")
+    tf = materialize(tf, "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     asked = materialize(q.join(df, "term").crossJoin(F.broadcast(n)), "asked")
     s = _with_queries(tf, asked)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from veritrail.functions import paths as P
 from veritrail.operators import converge, edges
 from veritrail.operators.extract import extract
 from veritrail.session import materialize
+from veritrail.sources import logs
 from veritrail.store import TABLES, Store
 
 Disk = Callable[[DataFrame], DataFrame]
@@ -108,14 +110,25 @@ def rebuild(store: Store, files: DataFrame, roots: dict[str, str] | None = None,
     return converge_batch(store, known, lambda dirty: files.join(dirty, "path", "left_semi"), None, roots, cap)
 
 
-def start(hints: DataFrame, store: Store, disk: Disk, checkpoint: str, once: bool = False, again: str | None = None) -> StreamingQuery:
-    """Start the stream. once takes what is there and ends. Stale and deferred paths are appended as hints to the folder `again`, which the stream should read."""
+def start(
+    hints: DataFrame, store: Store, disk: Disk, checkpoint: str, once: bool = False, again: str | None = None, roots: dict[str, str] | None = None, cap: str = "graph",
+    audit_every: float | None = None, full: Callable[[], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Start the stream. once takes what is there and ends; else a batch begins every 2 seconds, when there are hints.
+
+    again is a folder that the stream reads: stale and deferred paths are appended to it as hints, and, every audit_every seconds, whatever `audit` finds
+    by the file list that full gives (path, size, mtime_ms, hash).
+    """
+    last = [time.time()]
 
     def run(batch: DataFrame, number: int) -> None:
-        acts = converge_batch(store, batch, disk, number)
+        acts = converge_batch(store, batch, disk, number, roots, cap)
+        now = int(time.time() * 1000)
         if again:
-            rest = acts.filter(F.col("action").isin("stale", "deferred")).select("path", F.col("action").alias("reason"), F.unix_millis(F.current_timestamp()).alias("at"))
-            rest.write.mode("append").json(again)
+            logs.append_hints(acts.filter(F.col("action").isin("stale", "deferred")).select("path", F.col("action").alias("reason"), F.lit(now).alias("at")), again)
+        if again and full and audit_every is not None and time.time() - last[0] >= audit_every:
+            logs.append_hints(audit(store, full(), now, roots, cap), again)
+            last[0] = time.time()
 
     w = hints.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="2 seconds")).start()
