@@ -27,8 +27,10 @@ from veritrail.session import materialize
 
 DIM, TREES, BLOCK, K, REVERSE, ROUNDS, SETTLED = 64, 8, 1024, 14, 12, 4, 0.01
 #: Edges of a smaller cosine don't enter the graph of nearest_pairs: they lead no neighbour of 0.85 to another. That of search has no such floor.
-FLOOR = 0.6
+FLOOR = 0.75
 
+#: Leaf blocks of the first tree that make a block of the descent.
+HOME = 4
 #: Cosines are screened in single precision, this much below what counts, and then taken in double.
 SLACK = 1e-5
 
@@ -135,7 +137,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], floor: float = FLOOR, size: int =
             u, v, sim = _top(u[ok], v[ok], sim[ok], K)
         else:
             u, v, sim = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        home = part * 2**32 + seq if t == 0 else None
+        home = part * 2**32 + seq // HOME if t == 0 else None
         out = _lists(ids, u, v, sim, home)
         if old:
             out = pa.RecordBatch.from_arrays([out.column(0), pa.array([None] * old + [home] * (len(ids) - old), pa.int64()), out.column(2)], schema=_SCHEMA)
