@@ -308,7 +308,8 @@ def test_inserts_and_logs(spark, tmp_path):
     folder = str(tmp_path / "h")
     for i in range(2):
         logs.append_hints(spark.createDataFrame([(f"/p{i}", "x", i)], "path string, reason string, at long"), folder)
-    assert values(logs.hints(spark, folder).select("path", "at")) == {("/p0", 0), ("/p1", 1)}
+    logs.append_hints(spark.createDataFrame([("/w/node_modules/x", "x", 2), ("/h/.rc", "x", 3)], "path string, reason string, at long"), folder)
+    assert values(logs.hints(spark, folder, "/h").select("path", "at")) == {("/p0", 0), ("/p1", 1)} and logs.hints(spark, folder).count() == 4
     row = (1, "iso", 1, 10, 20, 3, 0.5, 0.6, 2, 0, 7, 0.9, 0, None)
     logs.append_telemetry(spark.createDataFrame([row], ", ".join(logs.TELEMETRY)), str(tmp_path / "t"))
     assert [tuple(r) for r in logs.telemetry(spark, str(tmp_path / "t")).collect()] == [row]

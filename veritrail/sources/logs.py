@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.functions.paths import skipped
+
 HINT = "path string, reason string, at long, _bad string"
 TELEMETRY = (
     "epoch long", "iso string", "daemon int", "nodes long", "edges long", "keywords long", "insert_p50 double", "query_p50 double", "sync_age_h long", "gates int",
@@ -12,18 +14,19 @@ TELEMETRY = (
 )
 
 
-def _good(df: DataFrame) -> DataFrame:
-    """Torn lines and relative paths dropped."""
-    return df.filter(F.col("_bad").isNull() & F.col("path").startswith("/")).drop("_bad")
+def _good(df: DataFrame, home: str | None) -> DataFrame:
+    """Torn lines, relative paths and, if a home folder is given, paths that are never indexed are dropped."""
+    ok = df.filter(F.col("_bad").isNull() & F.col("path").startswith("/")).drop("_bad")
+    return ok if home is None else ok.filter(~skipped(F.col("path"), home))
 
 
-def hints(spark: SparkSession, path: str) -> DataFrame:
-    return _good(spark.read.schema(HINT).option("columnNameOfCorruptRecord", "_bad").json(path))
+def hints(spark: SparkSession, path: str, home: str | None = None) -> DataFrame:
+    return _good(spark.read.schema(HINT).option("columnNameOfCorruptRecord", "_bad").json(path), home)
 
 
-def hint_stream(spark: SparkSession, folder: str, files: int = 256) -> DataFrame:
+def hint_stream(spark: SparkSession, folder: str, files: int = 256, home: str | None = None) -> DataFrame:
     """The hints of a folder as a stream; a batch takes at most so many files."""
-    return _good(spark.readStream.schema(HINT).option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files).json(folder))
+    return _good(spark.readStream.schema(HINT).option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files).json(folder), home)
 
 
 def append_hints(hints: DataFrame, folder: str) -> None:
