@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import paths as P
 from veritrail.functions import text as T
-from veritrail.operators.skew import hot_keys
 from veritrail.session import materialize
 
 #: BM25 parameters; fixed values: the constant of the reciprocal ranks, and the thresholds of the gates.
@@ -27,35 +27,140 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents for each of a list of queries.
 
     docs are (doc_id, text), queries (query_id, text); diacritics don't count. Scores are rounded to 6 decimals, ties go to the
-    smaller doc_id. Up to FEW different terms of the queries are broadcast, so that only their occurrences leave the scan; more are met by a shuffle of the counts by
-    document and term. Hot terms are spread over tasks; see `_with_queries`.
+    smaller doc_id. Up to FEW different terms of the queries are broadcast, so that only their occurrences leave the scan; beyond that they are met by a shuffle. The
+    occurrences lie in blocks of whole documents, by term; blocks of queries meet them, and of what a query's terms hold only the k best of a block that may still count leave the task.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    terms = materialize(q.select("term").distinct(), "terms")
+    kind, ident = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    q = queries.select("query_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    row = docs.sparkSession.range(1).select(F.lit("").alias("term"))  # no term is empty: it stands for the row of a document itself
+    number = F.when(F.col("term") == "", F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    terms = materialize(q.select("term").unionByName(row).distinct().withColumn("tid", number), "terms")
     d = docs.select("doc_id", T.terms(F.col("text")).alias("w"))
-    n = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg"))
-    words = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    count = lambda x: x.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     few = terms.count() <= FEW
-    tf = count(words.join(F.broadcast(terms), "term", "left_semi")) if few else count(words).join(terms, "term", "left_semi")
-    tf = materialize(tf, "tf")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = materialize(q.join(df, "term").crossJoin(F.broadcast(n)), "asked")
-    s = _with_queries(tf, asked)
+    words = d.select("doc_id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w") if few else F.col("w")).alias("term"))
+    met = words.join(F.broadcast(terms) if few else terms, "term").select("doc_id", "len", "tid")
+    if not few:
+        met = met.unionByName(d.select("doc_id", F.size("w").alias("len"), F.lit(-1).cast("bigint").alias("tid")))
+    blocks = materialize(_postings(met, kind), "postings")
+    n = blocks.agg(F.sum("rows").alias("n"), (F.sum("words") / F.sum("rows")).alias("avg"))
+    df = blocks.select(F.explode(F.arrays_zip("tids", "held")).alias("e")).groupBy("e.tids").agg(F.sum("e.held").alias("df")).withColumnRenamed("tids", "tid")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = s.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k)
-
-
-def _with_queries(tf: DataFrame, asked: DataFrame, salts: int = 32) -> DataFrame:
-    """Postings with the queries of their term. The postings of hot terms are spread over salts, and their few query rows are repeated for each."""
-    hot = hot_keys(tf, ["term"]).withColumn("_hot", F.lit(True))  # fewer than 512
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = tf.join(F.broadcast(hot), "term", "left").withColumn("_salt", salt).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = asked.join(F.broadcast(hot), "term", "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return left.join(right, ["term", "_salt"])
+    each = q.join(terms, "term").select("query_id", "tid").distinct().join(df, "tid").crossJoin(F.broadcast(n))
+    each = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", idf.alias("idf")))).alias("t"), F.first("avg").alias("avg"))
+    asked = materialize(_asked(each.select("query_id", "t.tid", "t.idf", "avg"), ident).withColumn("no", F.monotonically_increasing_id()), "asked")
+    return top(_grid(blocks.drop("rows", "words"), asked).mapInArrow(_scored(k), f"query_id {ident}, doc_id {kind}, score double"), k)
+
+
+def _grid(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every row of blocks beside every row of asked. A task has few rows of asked and meets many blocks one by one, so that what it found for a query in one of them bounds what leaves it from the next."""
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(n, asked.count()))
+    return blocks.coalesce(-(-2 * n // parts)).crossJoin(asked.repartition(parts).hint("shuffle_replicate_nl"))
+
+
+def _postings(met: DataFrame, kind: str, most: int = 1 << 20) -> DataFrame:
+    """Occurrences (doc_id, len, tid) in blocks of whole documents, of about `most` rows: ids in order, for each term of tids how many it holds, and for each (document, length) that it holds the position of the id, the length and the count.
+
+    The rows of tid -1 stand for the documents: rows is their number, words the sum of their lengths.
+    """
+
+    def block(t: pa.Table) -> pa.RecordBatch:
+        ids = t.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+        doc, size, tid = (x.to_numpy(zero_copy_only=False) for x in (ids.indices, t.column(1).combine_chunks(), t.column(2).combine_chunks()))
+        rows = tid < 0
+        own = [int(rows.sum()), int(size[rows].sum(dtype=np.int64))]
+        doc, size, tid = doc[~rows], size[~rows], tid[~rows]
+        at = np.lexsort((size, doc, tid))
+        doc, size, tid = doc[at], size[at], tid[at]
+        first = np.flatnonzero(np.r_[True, (np.diff(tid) != 0) | (np.diff(doc) != 0) | (np.diff(size) != 0)][: len(tid)])
+        tf = np.diff(first, append=len(tid))
+        tids, held = np.unique(tid[first], return_counts=True)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        data = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (doc[first], size[first], tf)]
+        return pa.RecordBatch.from_arrays([one(ids.dictionary), one(pa.array(tids, pa.int64())), one(pa.array(held, pa.int64())), *data, *(pa.array([x], pa.int64()) for x in own)], ["ids", "tids", "held", "doc", "size", "tf", "rows", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if kept and sum(x.num_rows for x in kept) >= most:
+                same = int(pc.sum(pc.equal(b.column(0), last)).as_py() or 0) if last.is_valid else b.column(0).null_count  # in order: what goes on with the last document
+                kept.append(b.slice(0, same))
+                b = b.slice(same)
+                if not b.num_rows:
+                    continue
+                yield block(pa.Table.from_batches(kept))
+                kept = []
+            kept.append(b)
+            last = b.column(0)[b.num_rows - 1]
+        if kept:
+            yield block(pa.Table.from_batches(kept))
+
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"ids array<{kind}>, tids array<bigint>, held array<bigint>, doc binary, size binary, tf binary, rows bigint, words bigint")
+
+
+def _asked(each: DataFrame, kind: str, rows: int = 1024) -> DataFrame:
+    """Queries (query_id, tid, idf, avg) in blocks of at most `rows`: their ids, and the terms of all one after another from `start` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                s = b.slice(i, rows)
+                tid, idf = s.column(1).flatten().to_numpy(), s.column(2).flatten().to_numpy()
+                start = np.r_[0, np.cumsum(pc.list_value_length(s.column(1)).to_numpy())]
+                ids = pa.ListArray.from_arrays(pa.array([0, s.num_rows], pa.int32()), s.column(0))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in (start.astype(np.int64), tid, idf)), s.column(3).slice(0, 1)], ["qi", "start", "tid", "idf", "avg"])
+
+    return each.mapInArrow(run, f"qi array<{kind}>, start binary, tid binary, idf binary, avg double")
+
+
+def _scored(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of `_postings` beside those of `_asked`: the k best documents of a block for each query, without those that k earlier ones exceed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}  # by block of queries: the scores of the k best so far, falling
+        for b in batches:
+            for r in range(b.num_rows):
+                get = lambda c, kind: np.frombuffer(b.column(c)[r].as_py(), kind)  # noqa: B023, E731
+                ids, tids, qi = (b.column(c)[r].values for c in ("ids", "tids", "qi"))
+                most = best.setdefault(b.column("no")[r].as_py(), np.full((len(qi), k), -np.inf))
+                if not len(tids):
+                    continue
+                doc, tf = get("doc", np.int32).astype(np.intp), get("tf", np.int32)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * get("size", np.int32) / b.column("avg")[r].as_py()))
+                ends = np.cumsum(b.column("held")[r].values.to_numpy())
+                start, tid, idf = get("start", np.int64), get("tid", np.int64), get("idf", np.float64)
+                at = np.minimum(np.searchsorted(tids.to_numpy(), tid), len(tids) - 1)
+                at[tids.to_numpy()[at] != tid] = -1
+                s, found = np.zeros(len(ids)), []
+                for i in range(len(qi)):
+                    spans = [(slice(ends[a - 1] if a else 0, ends[a]), w) for a, w in zip(at[start[i] : start[i + 1]], idf[start[i] : start[i + 1]]) if a >= 0]
+                    if not spans:
+                        continue
+                    for x, w in spans:
+                        np.add.at(s, doc[x], w * part[x])
+                    every = np.concatenate([doc[x] for x, _ in spans])
+                    value, least = s[every], most[i, -1]
+                    if least == -np.inf:
+                        every = np.unique(every)
+                        value = s[every]
+                        least = np.partition(value, -k)[-k] if len(value) > k else least
+                    some = np.unique(every[value >= least - 1e-6])
+                    score = np.round(s[some], 6)
+                    s[every] = 0
+                    order = np.argsort(-score, kind="stable")[:k]
+                    order = order[score[order] >= most[i, -1]]
+                    if len(order):
+                        most[i] = -np.sort(-np.r_[most[i], score[order]])[:k]
+                        found.append((np.full(len(order), i), some[order], score[order]))
+                if found:
+                    i, j, v = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([qi.take(pa.array(i)), ids.take(pa.array(j)), pa.array(v)], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
