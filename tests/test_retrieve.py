@@ -75,6 +75,21 @@ def test_blocks_of_postings_hold_whole_documents(spark):
     assert sum(r.rows for r in rows) == 100 and sum(sum(r.held) for r in rows) == 28
 
 
+def test_cosine_of_many_small_blocks(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1200, 64))
+    x[7::100] = x[7]  # equal vectors: ties go to the smaller id
+    x = x.astype(np.float32)
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)] + [(-1, [0.0] * 64), (-2, None), (-3, [float("nan")] * 64)], "vec_id long, embedding array<float>")
+    got = retrieve.cosine(v, v.filter("vec_id % 3 = 1"), 10, rows=16).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    want = {(q, int(d), s[q, d], n + 1) for q in range(1, 1200, 3) for n, d in enumerate(np.argsort(-s[q], kind="stable")[:10])}
+    assert {(g.query_id, g.doc_id, g.score, g["rank"]) for g in got} == want
+
+
 def stored(spark, folder, n=1200):
     """Tables of n notes that share a word, all with a vector; a quarter of their ids is divisible by 20."""
     r = np.random.default_rng(5)
@@ -88,7 +103,7 @@ def stored(spark, folder, n=1200):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["verified_search"])
+@pytest.mark.parametrize("name", ["verified_search", "cache_gate"])
 def test_shuffled_rows_of_searches(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     at = stored(spark, tmp_path)

@@ -174,48 +174,69 @@ def usable(vec: Column, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & F.forall(vec, finite) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, parts: int, dim: int) -> DataFrame:
-    """Blocks of at most `rows` unit vectors as (ids, data)."""
+def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, dim: int) -> DataFrame:
+    """Blocks of at most `rows` vectors in the order of their ids as (ids, data), single precision as they are stored."""
     kind = vectors.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 s = b.slice(i, rows)
-                x = s.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                s = s.take(pc.sort_indices(s.column(0), null_placement="at_start"))
                 ids = pa.ListArray.from_arrays(pa.array([0, s.num_rows], pa.int32()), s.column(0))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], ["ids", "data"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["ids", "data"])
 
-    return vectors.filter(usable(F.col(vec), dim)).select(ident, vec).repartition(parts).mapInArrow(run, f"ids array<{kind}>, data binary")
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.filter(usable(F.col(vec), dim)).select(ident, vec).repartition(n).mapInArrow(run, f"ids array<{kind}>, data binary")
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding", rows: int = 2048, dim: int = 64) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest vectors for each query vector, itself left out.
 
     A stated query set against all rows, in blocks: pairs of blocks meet, never pairs of rows, and each keeps its k best
-    (with ties) of a query. Cosines are rounded to 6 decimals, ties go to the smaller id. Null, empty, all-zero and non-finite vectors and those
+    of a query, without those that k of earlier blocks exceed. Single precision says which may be among them. Cosines are rounded to 6 decimals, ties go to the smaller id. Null, empty, all-zero and non-finite vectors and those
     of another length take no part.
     """
+    single = {"float": np.float32, "double": np.float64}
+    stored = [single[x.schema[vec].dataType.elementType.simpleString()] for x in (queries, vectors)]
+    slack = 1e-6 + 2.4e-7 * dim  # rounding to 6 decimals, and what a sum of dim products in single precision is wrong by
+
+    def units(data: bytes, kind: type) -> np.ndarray:
+        x = np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}  # by block of queries: the cosines of the k best so far, falling
         for b in batches:
             for r in range(b.num_rows):
-                qi, di = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("qi", "di"))
-                q, d = (np.frombuffer(b.column(c)[r].as_py()).reshape(-1, dim) for c in ("qd", "dd"))
-                s = np.round(q @ d.T, 6)
-                s[qi[:, None] == di[None]] = -2
-                at = min(k, s.shape[1]) - 1
-                kth = -np.partition(-s, at, axis=1)[:, at]
-                i, j = np.nonzero((s >= kth[:, None]) & (s > -2))
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(di[j]), pa.array(s[i, j])], ["query_id", "doc_id", "score"])
+                qi, di = (b.column(c)[r].values for c in ("qi", "di"))
+                q, d = (units(b.column(c)[r].as_py(), kind) for c, kind in zip(("qd", "dd"), stored))
+                most = best.setdefault(b.column("no")[r].as_py(), np.full((len(q), k), -np.inf))
+                s = q.astype(np.float32) @ d.astype(np.float32).T
+                least = most[:, -1] - slack
+                new = np.flatnonzero(np.isinf(least))
+                if len(new) and len(d) > k + 1:  # one more, for the query itself
+                    least[new] = np.partition(s[new], -k - 1, axis=1)[:, -k - 1] - 2 * slack
+                at = np.flatnonzero(s >= least.astype(np.float32)[:, None])
+                i, j = np.divmod(at, len(d))
+                score = np.concatenate([np.zeros(0), *(np.round(np.einsum("ij,ij->i", q[i[x : x + 65536]], d[j[x : x + 65536]]), 6) for x in range(0, len(i), 65536))])
+                ok = (score >= most[i, -1]) & pc.fill_null(pc.not_equal(qi.take(pa.array(i)), di.take(pa.array(j))), False).to_numpy(zero_copy_only=False)
+                i, j, score = i[ok], j[ok], score[ok]
+                order = np.lexsort((j, -score, i))
+                i, j, score = i[order], j[order], score[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, score, nth = (x[nth < k] for x in (i, j, score, nth))
+                fresh = np.full(most.shape, -np.inf)
+                fresh[i, nth] = score
+                most[:] = -np.sort(-np.hstack([most, fresh]), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(i)), di.take(pa.array(j)), pa.array(score)], ["query_id", "doc_id", "score"])
 
     kind = vectors.schema[ident].dataType.simpleString()
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = materialize(_packed(queries, ident, vec, rows, max(1, n // 4), dim).select(F.col("ids").alias("qi"), F.col("data").alias("qd")), "queries")
-    b = materialize(_packed(vectors, ident, vec, rows, n, dim).select(F.col("ids").alias("di"), F.col("data").alias("dd")), "blocks")
-    return top(b.crossJoin(a).mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double"), k)
+    a = _packed(queries, ident, vec, min(rows, 512), dim).select(F.col("ids").alias("qi"), F.col("data").alias("qd"))
+    a = materialize(a.withColumn("no", F.monotonically_increasing_id()), "queries")
+    b = materialize(_packed(vectors, ident, vec, rows, dim).select(F.col("ids").alias("di"), F.col("data").alias("dd")), "blocks")
+    return top(_grid(b, a).mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double"), k)
 
 
 def fuse(*ranked: DataFrame, k: int = 12, constant: int = RRF) -> DataFrame:
