@@ -90,6 +90,14 @@ def test_cosine_of_many_small_blocks(spark):
     assert {(g.query_id, g.doc_id, g.score, g["rank"]) for g in got} == want
 
 
+def test_fused_is_rounded_as_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    hits = spark.range(2000).select(F.lit("q").alias("query_id"), F.lit("d").alias("doc_id"), ((2 * F.col("id") + 19001) / 1e6).alias("vec"))
+    docs, asked = spark.createDataFrame([("d", "queue")], "doc_id string, text string"), spark.createDataFrame([("q", "queue other")], "query_id string, text string")
+    got = {(r.vec, r.fused) for r in retrieve.measured(hits, docs, asked).collect()}
+    assert got == set(duckdb.sql("SELECT vec, round((0.5::DOUBLE + vec) / 2, 6) FROM (SELECT (2 * i + 19001) / 1e6::DOUBLE AS vec FROM range(2000) t(i))").fetchall())
+
+
 def stored(spark, folder, n=1200):
     """Tables of n notes that share a word, all with a vector; a quarter of their ids is divisible by 20."""
     r = np.random.default_rng(5)
@@ -103,7 +111,7 @@ def stored(spark, folder, n=1200):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["verified_search", "cache_gate"])
+@pytest.mark.parametrize("name", ["verified_search", "cache_gate", "fused_gate"])
 def test_shuffled_rows_of_searches(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     at = stored(spark, tmp_path)

@@ -263,7 +263,8 @@ def measured(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", T.tokens(F.col("text")).alias("_q"))
     lex = T.coverage(F.col("_q"), F.col("text"))
     both = hits.join(docs, "doc_id").join(q, "query_id").withColumn("lex", lex).drop("text", "_q")
-    return both.withColumn("fused", F.round((F.col("lex") + F.greatest(F.coalesce("vec", F.lit(0.0)), F.lit(0.0))) / 2, 6))
+    mean = (F.col("lex") + F.greatest(F.coalesce("vec", F.lit(0.0)), F.lit(0.0))) / 2
+    return both.withColumn("fused", F.round(mean * 1e6) / 1e6)  # half of a cosine of 6 decimals often ends in 5: rounded as the SQL does, from the binary value
 
 
 def gate(measures: DataFrame, fused: bool = True) -> DataFrame:
