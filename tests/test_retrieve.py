@@ -111,7 +111,7 @@ def stored(spark, folder, n=1200):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["verified_search", "cache_gate", "fused_gate", "strict_gate"])
+@pytest.mark.parametrize("name", ["verified_search", "cache_gate", "fused_gate", "strict_gate", "rrf_topk"])
 def test_shuffled_rows_of_searches(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     at = stored(spark, tmp_path)
