@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veritrail.functions import text as T
 from veritrail.operators import retrieve
 from veritrail.plans.catalog import QUERIES
 from veritrail.plans.sql import SQL
@@ -98,6 +99,11 @@ def test_fused_is_rounded_as_by_sql(spark):
     assert got == set(duckdb.sql("SELECT vec, round((0.5::DOUBLE + vec) / 2, 6) FROM (SELECT (2 * i + 19001) / 1e6::DOUBLE AS vec FROM range(2000) t(i))").fetchall())
 
 
+def test_hit_line_is_that_of_printf(spark):
+    df = spark.range(1000, 3000).select((F.col("id") * 5 / 1000).alias("x")).select("x", T.hit_line(F.lit("t"), F.col("x")).alias("line"))
+    assert [r for r in df.collect() if r.line != "t [%.2f]" % r.x] == []
+
+
 def stored(spark, folder, n=1200):
     """Tables of n notes that share a word, all with a vector; a quarter of their ids is divisible by 20."""
     r = np.random.default_rng(5)
@@ -111,7 +117,7 @@ def stored(spark, folder, n=1200):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["verified_search", "cache_gate", "fused_gate", "strict_gate", "rrf_topk"])
+@pytest.mark.parametrize("name", ["verified_search", "cache_gate", "fused_gate", "strict_gate", "rrf_topk", "top1_query"])
 def test_shuffled_rows_of_searches(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     at = stored(spark, tmp_path)

@@ -76,7 +76,8 @@ def result_line(v: Column, share: Column, title: Column) -> Column:
 
 
 def hit_line(title: Column, score: Column) -> Column:
-    return F.format_string("%s [%.2f]", title, score)
+    """The score with two decimals, rounded from its binary value as printf does; format_string rounds its decimal form."""
+    return F.format_string("%s [%s]", title, F.replace(F.format_number(score, 2), F.lit(","), F.lit("")))
 
 
 def hit_rate(strong: Column, weak: Column, miss: Column) -> Column:
