@@ -236,6 +236,13 @@ def encoded(text: Column, known: WordMap, folder: str = TOKENIZERS) -> Column:
     return with_rank_map(lambda book: known.bound(lambda ids: F.flatten(F.transform(words, lambda w: F.coalesce(ids(w), encode_word(book, w))))), folder)
 
 
+def counted(text: Column, known: WordMap, folder: str = TOKENIZERS) -> Column:
+    """The number of ids of a text, without the list of them; 0 for a null one."""
+    words = split_words(F.coalesce(text, F.lit("")))
+    size = lambda w, ids, book: F.size(F.coalesce(ids(w), encode_word(book, w))).cast("long")
+    return with_rank_map(lambda book: known.bound(lambda ids: F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + size(w, ids, book))), folder)
+
+
 def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> DataFrame:
     """(doc_id, ids): the ids of each text, without special tokens. An empty or null text has an empty list.
 
@@ -246,7 +253,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, hot: int = HOT) -> Da
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, tokens): how many ids each text has; 0 for an empty or null text. One row per row of documents."""
-    return encode(documents, folder).select("doc_id", F.size("ids").cast("long").alias("tokens"))
+    return documents.select("doc_id", counted(F.col("text"), hot_words(documents, folder), folder).alias("tokens"))
 
 
 def decode(encoded: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
