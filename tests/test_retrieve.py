@@ -1,5 +1,8 @@
 """Searches whose words or vectors are shared by all: what leaves the tasks must not grow with the pairs."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from veritrail.functions import text as T
 from veritrail.operators import retrieve
 from veritrail.plans.catalog import QUERIES
 from veritrail.plans.sql import SQL
+from veritrail.session import work_dir
 
 
 def shuffled(spark, run):
@@ -129,3 +133,20 @@ def test_shuffled_rows_of_searches(spark, tmp_path, name):
     at = [rel.columns.index(c) for c in df[0].columns]
     assert sorted(df[1], key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
     assert rows < 150_000  # 360,000 pairs of a search and a note share a word
+
+
+@pytest.mark.parametrize("name", ["strict_gate"])
+def test_steps_of_hybrid_search_leave_little_on_disk(spark, tmp_path, name):
+    at = stored(spark, tmp_path)
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {f for f in str(env.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    folder = work_dir(spark)
+    shuffles, tables = kept(), set(os.listdir(folder))
+    QUERIES[name](spark, at)
+    assert {t.split("-")[0] for t in set(os.listdir(folder)) - tables} == {"words", "near"}  # the blocks they were made from are gone
+    size = lambda: sum(os.path.getsize(f) for f in kept() - shuffles if os.path.exists(f))
+    for _ in range(50):
+        if size() < 20_000:
+            break
+        time.sleep(0.2)
+    assert size() < 20_000  # the vectors alone are 300,000 bytes

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import paths as P
 from veritrail.functions import text as T
-from veritrail.session import materialize
+from veritrail.session import materialize, settled
 
 #: BM25 parameters; fixed values: the constant of the reciprocal ranks, and the thresholds of the gates.
 K1, B, RRF = 1.2, 0.75, 60
@@ -174,8 +174,8 @@ def usable(vec: Column, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & F.forall(vec, finite) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, dim: int) -> DataFrame:
-    """Blocks of at most `rows` vectors in the order of their ids as (ids, data), single precision as they are stored."""
+def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, dim: int, spread: bool = True) -> DataFrame:
+    """Blocks of at most `rows` vectors in the order of their ids as (ids, data), single precision as they are stored. spread: they are dealt out to the tasks evenly first, by a shuffle of all of them."""
     kind = vectors.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +187,16 @@ def _packed(vectors: DataFrame, ident: str, vec: str, rows: int, dim: int) -> Da
                 yield pa.RecordBatch.from_arrays([ids, pa.array([s.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["ids", "data"])
 
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return vectors.filter(usable(F.col(vec), dim)).select(ident, vec).repartition(n).mapInArrow(run, f"ids array<{kind}>, data binary")
+    some = vectors.filter(usable(F.col(vec), dim)).select(ident, vec)
+    return (some.repartition(n) if spread else some).mapInArrow(run, f"ids array<{kind}>, data binary")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding", rows: int = 2048, dim: int = 64) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding", rows: int = 2048, dim: int = 64, spread: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest vectors for each query vector, itself left out.
 
     A stated query set against all rows, in blocks: pairs of blocks meet, never pairs of rows, and each keeps its k best
     of a query, without those that k of earlier blocks exceed. Single precision says which may be among them. Cosines are rounded to 6 decimals, ties go to the smaller id. Null, empty, all-zero and non-finite vectors and those
-    of another length take no part.
+    of another length take no part. spread is False for vectors that a shuffle dealt out already.
     """
     single = {"float": np.float32, "double": np.float64}
     stored = [single[x.schema[vec].dataType.elementType.simpleString()] for x in (queries, vectors)]
@@ -233,9 +234,9 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "ve
                 yield pa.RecordBatch.from_arrays([qi.take(pa.array(i)), di.take(pa.array(j)), pa.array(score)], ["query_id", "doc_id", "score"])
 
     kind = vectors.schema[ident].dataType.simpleString()
-    a = _packed(queries, ident, vec, min(rows, 512), dim).select(F.col("ids").alias("qi"), F.col("data").alias("qd"))
+    a = _packed(queries, ident, vec, min(rows, 512), dim, spread).select(F.col("ids").alias("qi"), F.col("data").alias("qd"))
     a = materialize(a.withColumn("no", F.monotonically_increasing_id()), "queries")
-    b = materialize(_packed(vectors, ident, vec, rows, dim).select(F.col("ids").alias("di"), F.col("data").alias("dd")), "blocks")
+    b = materialize(_packed(vectors, ident, vec, rows, dim, spread).select(F.col("ids").alias("di"), F.col("data").alias("dd")), "blocks")
     return top(_grid(b, a).mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double"), k)
 
 
@@ -252,9 +253,9 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 25)
 
     docs are (doc_id, text), vectors (doc_id, embedding), queries (query_id, text); a query's vector is that of the row of its id. The row itself is no hit, nor is a vector without a document.
     """
-    words = bm25(docs, queries, k + 1).filter("doc_id <> query_id")
+    words = settled(lambda: bm25(docs, queries, k + 1).filter("doc_id <> query_id"), "words")
     vectors = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
-    near = materialize(cosine(vectors, vectors.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi"), k, "doc_id"), "near")
+    near = settled(lambda: cosine(vectors, vectors.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi"), k, "doc_id", spread=False), "near")
     return fuse(words, near, k=k).join(near.select("query_id", "doc_id", F.col("score").alias("vec")), ["query_id", "doc_id"], "left")
 
 
@@ -262,7 +263,7 @@ def measured(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits with lex, the share of the query's tokens that the document holds, and fused, the mean of lex and vec (0 where it is null)."""
     q = queries.select("query_id", T.tokens(F.col("text")).alias("_q"))
     lex = T.coverage(F.col("_q"), F.col("text"))
-    both = hits.join(docs, "doc_id").join(q, "query_id").withColumn("lex", lex).drop("text", "_q")
+    both = hits.join(q, "query_id").join(docs, "doc_id").withColumn("lex", lex).drop("text", "_q")  # in this order the texts are not shuffled again by query
     mean = (F.col("lex") + F.greatest(F.coalesce("vec", F.lit(0.0)), F.lit(0.0))) / 2
     return both.withColumn("fused", F.round(mean * 1e6) / 1e6)  # half of a cosine of 6 decimals often ends in 5: rounded as the SQL does, from the binary value
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +62,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    for inner in _WRITTEN:
+        inner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: For each `settled` that is at work, what was written meanwhile.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile removes its shuffle files when it ends, else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`materialize` of what build gives; the tables that build itself wrote for it are removed, as nothing else reads them."""
+    _WRITTEN.append(written := [])
+    try:
+        df = build()
+        inner = [*written]
+        out = materialize(df, name)
+    finally:
+        _WRITTEN.pop()
+    for path in inner:
+        remove(df.sparkSession, path)
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
