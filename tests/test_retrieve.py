@@ -135,7 +135,7 @@ def test_shuffled_rows_of_searches(spark, tmp_path, name):
     assert rows < 150_000  # 360,000 pairs of a search and a note share a word
 
 
-@pytest.mark.parametrize("name", ["strict_gate"])
+@pytest.mark.parametrize("name", ["strict_gate", "rrf_topk"])
 def test_steps_of_hybrid_search_leave_little_on_disk(spark, tmp_path, name):
     at = stored(spark, tmp_path)
     env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
