@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe
+from veritrail.llm import bpe, neardup
 
 
 def test_counts_are_the_sizes_of_the_lists(spark):
@@ -14,3 +14,11 @@ def test_counts_are_the_sizes_of_the_lists(spark):
     known = bpe.hot_words(d, hot=2)  # words in the map and beyond it
     plan = d.select("doc_id", bpe.counted(F.col("text"), known).alias("tokens"))
     assert {tuple(r) for r in plan.collect()} == want
+
+
+def test_word_hashes_are_sorted_as_numbers(spark):
+    n = spark.createDataFrame([(bytes([i]), " ".join(f"w{j}" for j in range(i, i + 30)), None) for i in range(5)], "id binary, title string, body string")
+    sets = neardup.word_sets(n)
+    assert "array_sort" not in sets._jdf.queryExecution().optimizedPlan().toString()  # it calls a comparison function for each two
+    rows = sets.collect()
+    assert len(rows) == 5 and all(len(r.words) == 30 and r.words == sorted(r.words) for r in rows)

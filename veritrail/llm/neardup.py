@@ -48,7 +48,7 @@ def word_sets(nodes: DataFrame, least: int = 20) -> DataFrame:
     set_id is a hash of the whole set, equal for equal sets. Null title or body counts as empty; null ids are left out.
     """
     w = nodes.filter("id is not null").select(F.lower(F.hex("id")).alias("id_hex"), words(F.col("title"), F.col("body")).alias("w"))
-    w = w.filter(F.size("w") >= least).select("id_hex", F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
+    w = w.filter(F.size("w") >= least).select("id_hex", F.sort_array(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
     return w.select("id_hex", F.xxhash64("words").alias("set_id"), "words")
 
 
