@@ -22,3 +22,12 @@ def test_word_hashes_are_sorted_as_numbers(spark):
     assert "array_sort" not in sets._jdf.queryExecution().optimizedPlan().toString()  # it calls a comparison function for each two
     rows = sets.collect()
     assert len(rows) == 5 and all(len(r.words) == 30 and r.words == sorted(r.words) for r in rows)
+
+
+def test_pairs_of_bytes_are_those_of_the_rank_map(spark):
+    if not bpe.os.path.isdir(bpe.TOKENIZERS):
+        pytest.skip("no tokenizers here")
+    ids = [[], [0], [255, 0], list(range(256)), [(7 * i * i + i // 3) % 256 for i in range(3000)]]
+    both = bpe.with_rank_map(lambda book: F.array(bpe._bytes(book, F.col("t")), bpe._start(book, F.col("t"))))
+    for r in spark.createDataFrame([(x,) for x in ids], "t array<int>").select(both.alias("x")).collect():
+        assert r.x[0] == r.x[1]

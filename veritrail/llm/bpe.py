@@ -55,14 +55,14 @@ def rank_table(folder: str, name: str = "byte_bpe_50k") -> tuple[list[int], np.n
     return [ids[bytes([b])] for b in range(256)], merges, pieces
 
 
-#: Where the bits and the displacements begin in the rank map.
-_BITS, _MOVES = 256, 256 + 2048
+#: Where the bits, the pairs of bytes and the displacements begin in the rank map.
+_BITS, _BYTES, _MOVES = 256, 256 + 2048, 256 + 2048 + 65536
 
 
 @lru_cache(maxsize=2)
 def rank_map(folder: str) -> str:
     """The literal rank map as text: ids of the 256 bytes, then which pairs of bytes stand beside each other in some token (a bit each,
-    32 a number, by left * 256 + right), then a displacement for each left id, then the shared rows.
+    32 a number, by left * 256 + right), then what each pair of bytes merges into, by their ids, or _NEVER >> 32, then a displacement for each left id, then the shared rows.
 
     The pairs of one left id are one sparse row by right id; the rows are laid into one array, displaced so that no two entries
     meet. The entry of a pair is left << 16 | id, in 32 bits, where id is what the pair merges into, which is also its rank.
@@ -70,6 +70,8 @@ def rank_map(folder: str) -> str:
     byte_ids, merges, pieces = rank_table(folder)
     if len(pieces) >= _NONE:
         raise ValueError("ids of 16 bits only")
+    if max(byte_ids) > 255:
+        raise ValueError("ids of bytes below 256 only")
     order = np.lexsort((merges[:, 1], merges[:, 0]))
     left, right, into = merges[order].T
     starts = np.flatnonzero(np.diff(left, prepend=-1))
@@ -99,7 +101,10 @@ def rank_map(folder: str) -> str:
         b = np.frombuffer(p, np.uint8).astype(np.int64)
         beside[b[:-1] << 8 | b[1:]] = 1
     bits = (beside.reshape(-1, 32) << np.arange(32)).sum(axis=1)
-    numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), np.minimum(move, 2**31 - 1 - _NONE), held.astype(np.uint32).view(np.int32)]
+    of_bytes = np.full(65536, _NEVER >> 32)
+    two = (merges[:, :2] < 256).all(axis=1)
+    of_bytes[merges[two, 0] * 256 + merges[two, 1]] = merges[two, 2]
+    numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), of_bytes, np.minimum(move, 2**31 - 1 - _NONE), held.astype(np.uint32).view(np.int32)]
     return ",".join(map(str, np.concatenate(numbers).tolist()))
 
 
@@ -122,6 +127,15 @@ def _pair(book: Column, key: Column) -> Column:
     return _let(F.get(book, at), found)
 
 
+def _bytes(book: Column, tokens: Column) -> Column:
+    """`_start` for the ids of single bytes: a pair is one look into the table of pairs of bytes."""
+    never, none = F.lit(_NEVER >> 32), F.lit(_NONE)
+    pair = lambda v, a, b: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(F.shiftleft(a.cast("bigint"), 16)).bitwiseOR(b.cast("bigint"))
+    after = lambda t, i: F.get(t, i + 1)
+    inner = lambda t: F.transform(t, lambda a, i: pair(F.coalesce(F.get(book, a * 256 + after(t, i) + _BYTES), never), a, F.coalesce(after(t, i), none)))
+    return F.concat(F.array(pair(never, none, F.coalesce(F.get(tokens, F.lit(0)), none))), inner(tokens))
+
+
 def _start(book: Column, tokens: Column) -> Column:
     """The pairs of adjacent tokens, one before the first and one after the last token included."""
     key = lambda t: lambda a, i: _pair(book, F.shiftleft(a.cast("bigint"), 16).bitwiseOR(F.coalesce(F.get(t, i + 1), F.lit(_NONE)).cast("bigint")))
@@ -140,7 +154,7 @@ def _beside(book: Column, before: Column, token: Column, after: Column) -> Colum
 
 
 def _fold(book: Column, tokens: Column) -> Column:
-    """Ranked merges over an array of tokens; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change."""
+    """Ranked merges over an array of the ids of bytes; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change."""
 
     def step(s: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
@@ -149,7 +163,7 @@ def _fold(book: Column, tokens: Column) -> Column:
 
         return _let(F.array_min(s), merged)
 
-    return F.aggregate(tokens, _start(book, tokens), step, _tokens)
+    return F.aggregate(tokens, _bytes(book, tokens), step, _tokens)
 
 
 def _sign(token: Column) -> Column:
