@@ -68,7 +68,7 @@ def rank_map(folder: str) -> str:
     meet. The entry of a pair is left << 16 | id, in 32 bits, where id is what the pair merges into, which is also its rank.
     """
     byte_ids, merges, pieces = rank_table(folder)
-    if len(pieces) >= _NONE:
+    if len(pieces) >= _NONE - 1:
         raise ValueError("ids of 16 bits only")
     if max(byte_ids) > 255:
         raise ValueError("ids of bytes below 256 only")
@@ -95,6 +95,7 @@ def rank_map(folder: str) -> str:
         held[at + row] = left[starts[i]] << 16 | into[starts[i] : ends[i]]
         move[left[starts[i]]] = at - int(right[starts[i]])
     held = held[: int(np.flatnonzero(held)[-1]) + 1]
+    held[held == 0] = (_NONE - 1) << 16  # no left id; 0 would pass for one of id 0
     move += _MOVES + len(move)
     beside = np.zeros(65536, np.int64)
     for p in pieces:
