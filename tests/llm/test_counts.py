@@ -31,3 +31,12 @@ def test_pairs_of_bytes_are_those_of_the_rank_map(spark):
     both = bpe.with_rank_map(lambda book: F.array(bpe._bytes(book, F.col("t")), bpe._start(book, F.col("t"))))
     for r in spark.createDataFrame([(x,) for x in ids], "t array<int>").select(both.alias("x")).collect():
         assert r.x[0] == r.x[1]
+
+
+def test_a_turn_copies_no_array(spark):
+    if not bpe.os.path.isdir(bpe.TOKENIZERS):
+        pytest.skip("no tokenizers here")
+    book, t = F.col("book"), F.col("t")
+    d = spark.createDataFrame([([0], [1])], "book array<int>, t array<int>")
+    plan = d.select(bpe._fold(book, t).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "getarrayitem(transform(" not in plan.lower() and "get(transform(" not in plan.lower()  # such a variable copies what is made of it

@@ -35,8 +35,11 @@ _MOST = 1 << 20
 _PLANE = 0x100
 #: No token, beside the first and the last one.
 _NONE = 0xFFFF
-#: A pair that doesn't merge has this rank or more.
-_NEVER = 1 << 50
+#: The rank of a pair that merges is _FIRST | id, a negative number; a pair that doesn't merge has the rank _AFTER or more.
+_FIRST, _AFTER = -(1 << 31), (1 << 16) - (1 << 31)
+_NEVER = _AFTER << 32
+#: An empty place of the rank map: no left id.
+_EMPTY = (_NONE - 1 << 16) + _FIRST
 
 
 @lru_cache(maxsize=2)
@@ -62,10 +65,10 @@ _BITS, _BYTES, _MOVES = 256, 256 + 2048, 256 + 2048 + 65536
 @lru_cache(maxsize=2)
 def rank_map(folder: str) -> str:
     """The literal rank map as text: ids of the 256 bytes, then which pairs of bytes stand beside each other in some token (a bit each,
-    32 a number, by left * 256 + right), then what each pair of bytes merges into, by their ids, or _NEVER >> 32, then a displacement for each left id, then the shared rows.
+    32 a number, by left * 256 + right), then the rank of each pair of bytes, by their ids, then a displacement for each left id, then the shared rows.
 
     The pairs of one left id are one sparse row by right id; the rows are laid into one array, displaced so that no two entries
-    meet. The entry of a pair is left << 16 | id, in 32 bits, where id is what the pair merges into, which is also its rank.
+    meet. The entry of a pair is left << 16 ^ (_FIRST | id), in 32 bits, where id is what the pair merges into: with left << 16 taken off it is the rank, and any other left leaves _AFTER or more.
     """
     byte_ids, merges, pieces = rank_table(folder)
     if len(pieces) >= _NONE - 1:
@@ -77,6 +80,7 @@ def rank_map(folder: str) -> str:
     starts = np.flatnonzero(np.diff(left, prepend=-1))
     ends = np.append(starts[1:], len(left))
     held = np.zeros(16 * len(pieces), np.int64)
+    held[_NONE - len(pieces)] = _NONE - 1 << 16  # the displacement of _NONE would lie here: it points beyond the end
     move = np.full(len(pieces), 1 << 30, np.int64)  # a left id without pairs points beyond the end
     free = 0
     for i in np.argsort(starts - ends, kind="stable").tolist():  # the longest row first
@@ -96,16 +100,19 @@ def rank_map(folder: str) -> str:
         move[left[starts[i]]] = at - int(right[starts[i]])
     held = held[: int(np.flatnonzero(held)[-1]) + 1]
     held[held == 0] = (_NONE - 1) << 16  # no left id; 0 would pass for one of id 0
-    move += _MOVES + len(move)
+    below = np.flatnonzero(move < 0)  # small right ids of these meet displacements instead of rows
+    move = np.minimum(move + _MOVES + len(move), 2**31 - 1 - _NONE)
+    if np.isin(below ^ 0x8000, move >> 16).any():
+        raise ValueError("a displacement would pass for a pair")
     beside = np.zeros(65536, np.int64)
     for p in pieces:
         b = np.frombuffer(p, np.uint8).astype(np.int64)
         beside[b[:-1] << 8 | b[1:]] = 1
     bits = (beside.reshape(-1, 32) << np.arange(32)).sum(axis=1)
-    of_bytes = np.full(65536, _NEVER >> 32)
+    of_bytes = np.full(65536, _AFTER)
     two = (merges[:, :2] < 256).all(axis=1)
-    of_bytes[merges[two, 0] * 256 + merges[two, 1]] = merges[two, 2]
-    numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), of_bytes, np.minimum(move, 2**31 - 1 - _NONE), held.astype(np.uint32).view(np.int32)]
+    of_bytes[merges[two, 0] * 256 + merges[two, 1]] = merges[two, 2] + _FIRST
+    numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), of_bytes, move, (held ^ 1 << 31).astype(np.uint32).view(np.int32)]
     return ",".join(map(str, np.concatenate(numbers).tolist()))
 
 
@@ -114,33 +121,39 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _given(value: Column, kind: str, body) -> Column:
+    """The same where it is called for each word and turn: kind is the type of what body gives. A transform would copy that, and look up its type in the whole plan of body each time."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
+
+
 def with_rank_map(body, folder: str = TOKENIZERS) -> Column:
     """body(rank map): the literal stands once, whatever body does with it."""
     return _let(F.split(F.lit(rank_map(folder)), ",").cast("array<int>"), body)
 
 
-def _pair(book: Column, key: Column) -> Column:
-    """rank << 32 | left << 16 | right of the pair key = left << 16 | right, a long; _NEVER | key if it doesn't merge."""
-    left = F.shiftright(key, 16).cast("int")
-    at = F.get(book, left + _MOVES) + key.bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int")
-    id_ = lambda v: F.shiftleft(v.bitwiseAND(F.lit(_NONE)).cast("bigint"), 32)
-    found = lambda v: F.when(F.shiftrightunsigned(v, 16) == left, id_(v).bitwiseOR(key)).otherwise(key.bitwiseOR(F.lit(_NEVER).cast("bigint")))
-    return _let(F.get(book, at), found)
+def _rank(book: Column, left: Column, right: Column) -> Column:
+    """The rank of a pair of ids, or any number from _AFTER on. Without a variable or a condition: most of the time goes here."""
+    return F.coalesce(F.get(book, F.get(book, left + _MOVES) + right), F.lit(_EMPTY)).bitwiseXOR(F.shiftleft(left, 16))
+
+
+def _code(rank: Column, left: Column, right: Column) -> Column:
+    """rank << 32 | left << 16 | right, a long."""
+    return F.shiftleft(rank.cast("bigint"), 32).bitwiseOR(F.shiftleft(left.cast("bigint"), 16)).bitwiseOR(right.cast("bigint"))
 
 
 def _bytes(book: Column, tokens: Column) -> Column:
     """`_start` for the ids of single bytes: a pair is one look into the table of pairs of bytes."""
-    never, none = F.lit(_NEVER >> 32), F.lit(_NONE)
-    pair = lambda v, a, b: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(F.shiftleft(a.cast("bigint"), 16)).bitwiseOR(b.cast("bigint"))
+    never, none = F.lit(_AFTER), F.lit(_NONE)
     after = lambda t, i: F.get(t, i + 1)
-    inner = lambda t: F.transform(t, lambda a, i: pair(F.coalesce(F.get(book, a * 256 + after(t, i) + _BYTES), never), a, F.coalesce(after(t, i), none)))
-    return F.concat(F.array(pair(never, none, F.coalesce(F.get(tokens, F.lit(0)), none))), inner(tokens))
+    inner = lambda t: F.transform(t, lambda a, i: _code(F.coalesce(F.get(book, a * 256 + after(t, i) + _BYTES), never), a, F.coalesce(after(t, i), none)))
+    return F.flatten(F.array(F.array(_code(never, none, F.coalesce(F.get(tokens, F.lit(0)), none))), inner(tokens)))
 
 
 def _start(book: Column, tokens: Column) -> Column:
     """The pairs of adjacent tokens, one before the first and one after the last token included."""
-    key = lambda t: lambda a, i: _pair(book, F.shiftleft(a.cast("bigint"), 16).bitwiseOR(F.coalesce(F.get(t, i + 1), F.lit(_NONE)).cast("bigint")))
-    return _let(F.concat(F.array(F.lit(_NONE)), tokens), lambda t: F.transform(t, key(t)))
+    after = lambda t, i: F.coalesce(F.get(t, i + 1), F.lit(_NONE))
+    pair = lambda t: lambda a, i: _code(F.least(_rank(book, a, after(t, i)), F.lit(_AFTER)), a, after(t, i))
+    return _let(F.concat(F.array(F.lit(_NONE)), tokens), lambda t: F.transform(t, pair(t)))
 
 
 def _tokens(pairs: Column) -> Column:
@@ -149,20 +162,22 @@ def _tokens(pairs: Column) -> Column:
 
 def _beside(book: Column, before: Column, token: Column, after: Column) -> Column:
     """The two pairs that a new token makes with its neighbours."""
-    left = before.bitwiseAND(F.lit(_NONE << 16).cast("bigint")).bitwiseOR(token)
-    right = F.shiftleft(token, 16).bitwiseOR(after.bitwiseAND(F.lit(_NONE).cast("bigint")))
-    return F.transform(F.array(left, right), lambda k: _pair(book, k))
+    left = F.shiftright(before, 16).bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int")
+    right = after.bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int")
+    return F.zip_with(F.array(left, token), F.array(token, right), lambda a, b: _code(_rank(book, a, b), a, b))
 
 
 def _fold(book: Column, tokens: Column) -> Column:
     """Ranked merges over an array of the ids of bytes; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change."""
 
     def step(s: Column, _: Column) -> Column:
-        def merged(m: Column) -> Column:
-            new = lambda p: F.concat(F.slice(s, F.lit(1), p - 2), _beside(book, F.get(s, p - 2), F.shiftright(m, 32), F.get(s, p)), F.slice(s, p + 2, F.lit(_MOST)))
-            return F.when(m >= _NEVER, s).otherwise(_let(F.array_position(s, m).cast("int"), new))
+        def merged(p: Column) -> Column:
+            m = F.get(s, p - 1)
+            token = F.shiftright(m, 32).bitwiseAND(F.lit(_NONE).cast("bigint")).cast("int")
+            new = F.flatten(F.array(F.slice(s, F.lit(1), p - 2), _beside(book, F.get(s, p - 2), token, F.get(s, p)), F.slice(s, p + 2, F.lit(_MOST))))
+            return F.when(m >= _NEVER, s).otherwise(new)
 
-        return _let(F.array_min(s), merged)
+        return _given(F.array_position(s, F.array_min(s)).cast("int"), "array<bigint>", merged)
 
     return F.aggregate(tokens, _bytes(book, tokens), step, _tokens)
 
@@ -196,11 +211,13 @@ def _cut(book: Column, codes: Column) -> Column:
 
 def encode_word(book: Column, word: Column) -> Column:
     """The ids of one word of any length."""
-    codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    each = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+    codes = F.transform(each, lambda c: F.ascii(c))
     tokens = lambda c: F.transform(c, lambda x: F.get(book, x))
     part = lambda c: F.when(F.size(c) <= PART, _fold(book, tokens(c))).otherwise(_fold_all(book, tokens(c)))
     long_ = _let(codes, lambda c: F.flatten(F.transform(_cut(book, c), part)))
-    return F.when(F.octet_length(word) <= SHORT, _let(tokens(codes), lambda t: _fold(book, t))).otherwise(long_)
+    short = F.transform(each, lambda c: F.get(book, F.ascii(c)))
+    return F.when(F.octet_length(word) <= SHORT, _given(short, "array<int>", lambda t: _fold(book, t))).otherwise(long_)
 
 
 class WordMap:
