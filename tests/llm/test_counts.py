@@ -40,3 +40,11 @@ def test_a_turn_copies_no_array(spark):
     d = spark.createDataFrame([([0], [1])], "book array<int>, t array<int>")
     plan = d.select(bpe._fold(book, t).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert "getarrayitem(transform(" not in plan.lower() and "get(transform(" not in plan.lower()  # such a variable copies what is made of it
+
+
+def test_sizes_of_words_need_no_list(spark):
+    if not bpe.os.path.isdir(bpe.TOKENIZERS):
+        pytest.skip("no tokenizers here")
+    texts = [" fetchNodeFolkoush", " slailtka\u00e2", " 9998", "", " \u0441\u043a\u0430\u0441\u0445\u0441\u043a\u043e\u043d\u0434", "x" * 65, "ab" * 2000]
+    rows = spark.createDataFrame([(x,) for x in texts], "w string").select(bpe.with_rank_map(lambda b: F.array_size(bpe.encode_word(b, F.col("w")))).alias("a"), bpe.with_rank_map(lambda b: bpe.word_size(b, F.col("w"))).alias("b")).collect()
+    assert all(r.a == r.b is not None for r in rows) and len(rows) == len(texts)

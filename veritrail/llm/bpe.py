@@ -37,7 +37,7 @@ _PLANE = 0x100
 _NONE = 0xFFFF
 #: The rank of a pair that merges is _FIRST | id, a negative number; a pair that doesn't merge has the rank _AFTER or more.
 _FIRST, _AFTER = -(1 << 31), (1 << 16) - (1 << 31)
-_NEVER = _AFTER << 32
+_NEVER, _LAST = _AFTER << 32, (1 << 31) - 1
 #: An empty place of the rank map: no left id.
 _EMPTY = (_NONE - 1 << 16) + _FIRST
 
@@ -65,7 +65,7 @@ _BITS, _BYTES, _MOVES = 256, 256 + 2048, 256 + 2048 + 65536
 @lru_cache(maxsize=2)
 def rank_map(folder: str) -> str:
     """The literal rank map as text: ids of the 256 bytes, then which pairs of bytes stand beside each other in some token (a bit each,
-    32 a number, by left * 256 + right), then the rank of each pair of bytes, by their ids, then a displacement for each left id, then the shared rows.
+    32 a number, by left * 256 + right), then what each pair of bytes merges into or -1, by their ids, then a displacement for each left id, then the shared rows.
 
     The pairs of one left id are one sparse row by right id; the rows are laid into one array, displaced so that no two entries
     meet. The entry of a pair is left << 16 ^ (_FIRST | id), in 32 bits, where id is what the pair merges into: with left << 16 taken off it is the rank, and any other left leaves _AFTER or more.
@@ -109,9 +109,9 @@ def rank_map(folder: str) -> str:
         b = np.frombuffer(p, np.uint8).astype(np.int64)
         beside[b[:-1] << 8 | b[1:]] = 1
     bits = (beside.reshape(-1, 32) << np.arange(32)).sum(axis=1)
-    of_bytes = np.full(65536, _AFTER)
+    of_bytes = np.full(65536, -1)  # short as text: with _FIRST taken off it is _LAST
     two = (merges[:, :2] < 256).all(axis=1)
-    of_bytes[merges[two, 0] * 256 + merges[two, 1]] = merges[two, 2] + _FIRST
+    of_bytes[merges[two, 0] * 256 + merges[two, 1]] = merges[two, 2]
     numbers = [np.array(byte_ids), bits.astype(np.uint32).view(np.int32), of_bytes, move, (held ^ 1 << 31).astype(np.uint32).view(np.int32)]
     return ",".join(map(str, np.concatenate(numbers).tolist()))
 
@@ -143,16 +143,17 @@ def _code(rank: Column, left: Column, right: Column) -> Column:
 
 def _bytes(book: Column, tokens: Column) -> Column:
     """`_start` for the ids of single bytes: a pair is one look into the table of pairs of bytes."""
-    never, none = F.lit(_AFTER), F.lit(_NONE)
+    never, none = F.lit(_LAST), F.lit(_NONE)
     after = lambda t, i: F.get(t, i + 1)
-    inner = lambda t: F.transform(t, lambda a, i: _code(F.coalesce(F.get(book, a * 256 + after(t, i) + _BYTES), never), a, F.coalesce(after(t, i), none)))
+    inner = lambda t: F.transform(t, lambda a, i: _code(F.coalesce(F.get(book, a * 256 + after(t, i) + _BYTES).bitwiseXOR(F.lit(_FIRST)), never), a, F.coalesce(after(t, i), none)))
     return F.flatten(F.array(F.array(_code(never, none, F.coalesce(F.get(tokens, F.lit(0)), none))), inner(tokens)))
 
 
 def _start(book: Column, tokens: Column) -> Column:
     """The pairs of adjacent tokens, one before the first and one after the last token included."""
     after = lambda t, i: F.coalesce(F.get(t, i + 1), F.lit(_NONE))
-    pair = lambda t: lambda a, i: _code(F.least(_rank(book, a, after(t, i)), F.lit(_AFTER)), a, after(t, i))
+    rank = lambda r: F.when(r >= _AFTER, F.lit(_LAST)).otherwise(r)
+    pair = lambda t: lambda a, i: _code(rank(_rank(book, a, after(t, i))), a, after(t, i))
     return _let(F.concat(F.array(F.lit(_NONE)), tokens), lambda t: F.transform(t, pair(t)))
 
 
@@ -167,8 +168,8 @@ def _beside(book: Column, before: Column, token: Column, after: Column) -> Colum
     return F.zip_with(F.array(left, token), F.array(token, right), lambda a, b: _code(_rank(book, a, b), a, b))
 
 
-def _fold(book: Column, tokens: Column) -> Column:
-    """Ranked merges over an array of the ids of bytes; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change."""
+def _fold(book: Column, tokens: Column, end=_tokens) -> Column:
+    """Ranked merges over an array of the ids of bytes; a turn merges the leftmost pair of the lowest rank, and only the pairs beside it change. end gives the result from the last pairs."""
 
     def step(s: Column, _: Column) -> Column:
         def merged(p: Column) -> Column:
@@ -179,7 +180,7 @@ def _fold(book: Column, tokens: Column) -> Column:
 
         return _given(F.array_position(s, F.array_min(s)).cast("int"), "array<bigint>", merged)
 
-    return F.aggregate(tokens, _bytes(book, tokens), step, _tokens)
+    return F.aggregate(tokens, _bytes(book, tokens), step, end)
 
 
 def _sign(token: Column) -> Column:
@@ -211,13 +212,23 @@ def _cut(book: Column, codes: Column) -> Column:
 
 def encode_word(book: Column, word: Column) -> Column:
     """The ids of one word of any length."""
+    return _encoded(book, word, "array<int>", _tokens, lambda ids: ids)
+
+
+def word_size(book: Column, word: Column) -> Column:
+    """The number of ids of one word, without the list of them where it is short."""
+    return _encoded(book, word, "int", lambda pairs: F.size(pairs) - 1, F.size)
+
+
+def _encoded(book: Column, word: Column, kind: str, end, of_ids) -> Column:
+    """For a short word end(its last pairs), for others of_ids(their ids), of the type kind."""
     each = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     codes = F.transform(each, lambda c: F.ascii(c))
     tokens = lambda c: F.transform(c, lambda x: F.get(book, x))
     part = lambda c: F.when(F.size(c) <= PART, _fold(book, tokens(c))).otherwise(_fold_all(book, tokens(c)))
     long_ = _let(codes, lambda c: F.flatten(F.transform(_cut(book, c), part)))
     short = F.transform(each, lambda c: F.get(book, F.ascii(c)))
-    return F.when(F.octet_length(word) <= SHORT, _given(short, "array<int>", lambda t: _fold(book, t))).otherwise(long_)
+    return F.when(F.octet_length(word) <= SHORT, _given(short, kind, lambda t: _fold(book, t, end))).otherwise(of_ids(long_))
 
 
 class WordMap:
@@ -271,7 +282,7 @@ def encoded(text: Column, known: WordMap, folder: str = TOKENIZERS) -> Column:
 def counted(text: Column, known: WordMap, folder: str = TOKENIZERS) -> Column:
     """The number of ids of a text, without the list of them; 0 for a null one."""
     words = split_words(F.coalesce(text, F.lit("")))
-    size = lambda w, ids, book: F.size(F.coalesce(ids(w), encode_word(book, w))).cast("long")
+    size = lambda w, ids, book: F.coalesce(F.array_size(ids(w)), word_size(book, w)).cast("long")
     return with_rank_map(lambda book: known.bound(lambda ids: F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + size(w, ids, book))), folder)
 
 
